@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words: space and the control characters 9 to 13.
@@ -70,7 +71,7 @@ def utf8(column: pa.Array) -> pa.Array:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `most` bytes together; a longer text is a run of its own."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
     i, n = 0, batch.num_rows
     while i < n:
