@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes that separate words: space and the control characters 9 to 13.
 SPACES = np.zeros(256, dtype=bool)
@@ -60,6 +61,14 @@ class Table:
         drop(self.spark, self.path)
 
 
+def extended(schema: StructType, **more: str) -> StructType:
+    """A new schema with further columns; StructType.add would change the DataFrame's own."""
+    out = StructType(list(schema.fields))
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out
+
+
 def utf8(column: pa.Array) -> pa.Array:
     """The column's texts as bytes; null gives no bytes."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

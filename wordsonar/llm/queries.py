@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import rlz, simhash, wumanber
+from . import bpe, langid, rlz, simhash, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,22 @@ def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(table(spark, sf_dir, "documents"))
 
 
+def _held_out(modulus: int, remainder: int):
+    """True for the documents that are kept from learning, by their ids."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out(4, 2).alias("held_out"))
+    profiles = langid.learn(docs.where("not held_out").select("text", "lang"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,7 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_rlz, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op4_rlz, op5_language, op6_byte_bpe, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

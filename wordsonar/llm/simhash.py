@@ -27,7 +27,7 @@ from .common import Table, slices, utf8
 from .components import components
 
 #: Fingerprints in a tile, and in a small tile within a pair of tiles.
-TILE, SMALL = 65536, 512
+TILE, SMALL = 131072, 512
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 

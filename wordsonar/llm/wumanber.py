@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import extended, utf8
 
 #: Upper-case ASCII goes to lower case, what is not part of a word to a space; bytes from 0x80 on belong to words.
 _TABLE = bytes(
@@ -90,7 +90,7 @@ _STATE = ["_spans", "_items"]
 def _round(docs: DataFrame, shared, first: bool, finish=None, schema=None) -> DataFrame:
     """Searches the texts in _text for one set of tables. Found spans and items go to the columns _spans and _items,
     or with those of former rounds to finish(batch, words of each text, spans, items), which gives the result's batch."""
-    out = schema or docs.schema.add("_spans", "array<int>").add("_items", "array<bigint>") if first or schema else docs.schema
+    out = schema or extended(docs.schema, _spans="array<int>", _items="array<bigint>") if first or schema else docs.schema
     kept = [c for c in docs.columns if c not in _STATE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
