@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, rlz, simhash, wumanber
+from . import bpe, langid, multiset, rlz, simhash, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_rlz, op5_language, op6_byte_bpe, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op4_rlz, op5_language, op6_byte_bpe, op8_multiset, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
