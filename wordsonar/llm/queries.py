@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, multiset, rlz, simhash, warc, wumanber
+from . import bpe, chat, langid, multiset, rlz, simhash, toxicity, warc, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, remainder: int):
+    """True for the documents that are kept from learning, by their ids."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs.where(~_held_out(5, 0)), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
 
@@ -23,11 +35,6 @@ def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(table(spark, sf_dir, "documents"))
 
 
-def _held_out(modulus: int, remainder: int):
-    """True for the documents that are kept from learning, by their ids."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
-
-
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out(4, 2).alias("held_out"))
     profiles = langid.learn(docs.where("not held_out").select("text", "lang"))
@@ -61,7 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_rlz, op5_language, op6_byte_bpe, op7_chat, op8_multiset, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_rlz, op5_language, op6_byte_bpe, op7_chat, op8_multiset, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
