@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, multiset, rlz, simhash, toxicity, warc, wumanber
+from . import bpe, brown, chat, langid, multiset, rlz, simhash, toxicity, warc, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
 
 
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = brown.learn(docs.where(~F.coalesce(_held_out(5, 1), F.lit(False))))
+    return brown.score(docs, model).withColumn("held_out", F.coalesce(_held_out(5, 1), F.lit(False)))
+
+
 def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(table(spark, sf_dir, "documents"))
 
@@ -68,7 +74,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_rlz, op5_language, op6_byte_bpe, op7_chat, op8_multiset, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_brown, op4_rlz, op5_language, op6_byte_bpe, op7_chat, op8_multiset, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
