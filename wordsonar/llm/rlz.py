@@ -211,13 +211,15 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: i
     held = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
     spans = Table(duplicate_blocks(docs, id_col, text_col, window), "spans").df.withColumnRenamed("key", "_key")
 
+    columns = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text, spans in zip(batch.column(text_col), batch.column("_spans"), strict=True):
                 text, spans = text.as_py(), spans.as_py()
                 texts.append(b" ".join(_kept(text.encode(), spans, window)[1]).decode() if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], names=columns)
 
     joined = held.join(spans.withColumnRenamed("spans", "_spans"), "_key", "left")
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*columns, "_spans").mapInArrow(run, docs.schema)
