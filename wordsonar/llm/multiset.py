@@ -120,7 +120,9 @@ def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring(F.coalesce("next", F.lit("")), F.lit(1), k))
     rows = rows.select("range", "n", "guard", "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edit"))
     keys = ["range", "n", "guard", "doc_id", "n_chars", "edited_sha256"]
-    rows = rows.select(*keys[:-1], F.sha2(F.encode("edit", "UTF-8"), 256).alias("edited_sha256"), F.explode(F.concat(parts(F.col("text"), False), parts(F.col("edit"), True))).alias("part"))
+    # the digest comes before the explosion, lest it be taken again for every part
+    rows = rows.select(*keys[:-1], F.sha2(F.encode("edit", "UTF-8"), 256).alias("edited_sha256"), F.concat(parts(F.col("text"), False), parts(F.col("edit"), True)).alias("parts"))
+    rows = rows.select(*keys, F.explode("parts").alias("part"))
     found = rows.select(*keys, "part.*").groupBy(*keys, "edited").agg(*sums()).select(*keys, "edited", joined().alias("lanes"))
     order = Window.partitionBy("range").orderBy("n", "edited")
     found = found.select("*", F.lead("lanes", 1).over(order).alias("own"), F.lead("lanes", 2).over(order).alias("other"))
