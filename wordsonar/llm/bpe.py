@@ -5,8 +5,8 @@ bytes are token-position rows, adjacent rows join the merge table (ranks by the
 the leftmost pair of least rank in every piece until no pair has a rank. Long pieces take the same steps in a loop
 over tables, where a step contracts equal pairs together as far as the result stays that of single steps, so their
 memory grows with the piece and not with its square. Decoding joins the ids of each distinct run with the vocabulary and
-aggregates the bytes in the order of the positions; a document's bytes are those of its runs. Nothing is shuffled; a task's memory is bounded by its cache of
-pieces (CACHE) and by the size of a slice of texts, and a lost task is simply run again.
+aggregates the bytes in the order of the positions; a document's bytes are those of its runs. Nothing is shuffled; a process's memory is bounded by its cache
+of pieces (CACHE) and by the size of a slice of texts, and a lost task is simply run again.
 
 Defined results: null and empty texts give no ids and the digest of nothing; special-token strings are ordinary text;
 repeated rows give repeated results; null ids stay null; extra columns are not read. The vocabulary must hold all 256
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
-#: Pieces whose ids a task remembers; beyond that it forgets them all and starts anew.
-CACHE = 250_000
+#: Pieces whose ids a process remembers; beyond that it keeps only those of the texts at hand.
+CACHE = 400_000
 #: Bytes of a piece up to which the recursive query takes it.
 SHORT = 256
 #: Squared bytes of the pieces in one recursive query; half as many rows are what it holds.
 STEPS = 4_000_000
+#: Stands for no token; ids are below it.
+_NONE = (1 << 20) - 1
 #: Bytes of text encoded at once.
 SLICE = 2 << 20
 
@@ -67,27 +69,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-#: A row is a token: its place (piece * 1024 + byte offset), its bytes' count and its id. Each step finds every pair of
-#: adjacent tokens that the merge table ranks, and contracts of each piece the leftmost of least rank.
+#: A row is a token: its place (piece * 1024 + byte offset), its bytes' count, its id, the next token's id, and the token
+#: that the merge table makes of both, if any. Each step contracts of each piece the leftmost pair of least rank, and asks
+#: the merge table again for the two pairs that this changes.
 _RECURSE = """
 WITH RECURSIVE steps AS (
-    SELECT place, size, token, 0 AS step FROM start
+    SELECT s.place, s.size, s.token, s.next, m.token AS pair, 0 AS step
+    FROM start s LEFT JOIN merges m ON m.pair = (s.token << 20) | s.next
     UNION ALL
-    SELECT place, size, token, step FROM (
+    SELECT place, size, token, next, pair, step FROM (
         WITH best AS (
-            SELECT s.place >> 10 AS piece, min(m.token << 10 | (s.place & 1023)) AS least
-            FROM steps s JOIN steps n ON n.place = s.place + s.size JOIN merges m ON m.pair = s.token << 20 | n.token
-            GROUP BY s.place >> 10
+            SELECT place >> 10 AS piece, min((pair << 20) | ((place & 1023) << 10) | size) AS least
+            FROM steps WHERE pair IS NOT NULL GROUP BY place >> 10
         ), joined AS (
-            SELECT s.*, b.least >> 10 AS merged, (s.place & 1023) - (b.least & 1023) AS off
+            SELECT s.*, b.least >> 20 AS merged, (s.place & 1023) - ((b.least >> 10) & 1023) AS off, b.least & 1023 AS width
             FROM steps s JOIN best b ON b.piece = s.place >> 10
-        ), next AS (
-            SELECT n.place, n.size FROM joined s JOIN joined n ON n.place = s.place + s.size WHERE s.off = 0
+        ), gone AS (
+            SELECT place - off AS place, size, next FROM joined WHERE off = width
+        ), moved AS (
+            SELECT j.place, CASE WHEN off = 0 THEN j.size + g.size ELSE j.size END AS size,
+                   CASE WHEN off = 0 THEN merged ELSE token END AS token,
+                   CASE WHEN off = 0 THEN g.next WHEN off + j.size = 0 THEN merged ELSE j.next END AS next,
+                   CASE WHEN off = 0 OR off + j.size = 0 THEN NULL ELSE pair END AS pair,
+                   off = 0 OR off + j.size = 0 AS changed, step
+            FROM joined j LEFT JOIN gone g ON g.place = j.place WHERE off <> width
         )
-        SELECT j.place, CASE WHEN off = 0 THEN j.size + x.size ELSE j.size END AS size,
-               CASE WHEN off = 0 THEN merged ELSE token END AS token, step + 1 AS step
-        FROM joined j LEFT JOIN next x ON x.place = j.place + j.size AND off = 0
-        WHERE j.place NOT IN (SELECT place FROM next)
+        SELECT v.place, v.size, v.token, v.next, CASE WHEN changed THEN m.token ELSE v.pair END AS pair, step + 1 AS step
+        FROM moved v LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (v.token << 20) | v.next END
     )
 ), final AS (
     SELECT place >> 10 AS piece, max(step) AS step FROM steps GROUP BY piece
@@ -189,7 +197,10 @@ class Coder:
         sizes = np.fromiter((len(pieces[k]) for k in batch), np.int64, len(batch))
         offset = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         place = np.repeat(np.arange(len(batch)), sizes) << 10 | offset
-        self._table("start", pa.table({"place": place, "size": np.ones(len(flat), dtype=np.int64), "token": self.single[flat]}))
+        token = self.single[flat]
+        after = np.append(token[1:], _NONE)
+        after[np.cumsum(sizes) - 1] = _NONE
+        self._table("start", pa.table({"place": place, "size": np.ones(len(flat), dtype=np.int64), "token": token, "next": after}))
         return [(batch[k], ids) for k, ids in self.db.execute(_RECURSE).fetchall()]
 
     def _long(self, piece: bytes) -> str:
@@ -205,26 +216,39 @@ class Coder:
     def encode(self, texts: list[str]) -> list[list[str]]:
         """Of each text, of each piece: the ids, joined by a space."""
         split = [self.split(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
+        here = set().union(*split)
+        new = list(here.difference(self.known))
+        if len(self.known) + len(new) > self.most:
+            self.known = {p: self.known[p] for p in here if p in self.known}
         for k, ids in self._ids([p.encode() for p in new]):
-            known[new[k]] = ids
-        return [[known[p] for p in pieces] for pieces in split]
+            self.known[new[k]] = ids
+        get = self.known.__getitem__
+        return [list(map(get, pieces)) for pieces in split]
 
     def decode(self, lines: list[list[str]]) -> list[bytes]:
         """Of each text: the bytes that its runs of ids (joined by a space) stand for."""
-        if len(self.meant) > self.most:
-            self.meant.clear()
-        meant = self.meant
-        new = list({x for line in lines for x in line if x not in meant})
+        here = set().union(*lines)
+        new = list(here.difference(self.meant))
+        if len(self.meant) + len(new) > self.most:
+            self.meant = {x: self.meant[x] for x in here if x in self.meant}
         if new:
             self.db.register("lines_", pa.table({"k": pa.array(range(len(new)), pa.int64()), "line": pa.array(new, pa.string())}))
             for k, b in self.db.execute(_DECODE).fetchall():
-                meant[new[k]] = b
+                self.meant[new[k]] = b
             self.db.unregister("lines_")
-        return [b"".join([meant[x] for x in line]) for line in lines]
+        get = self.meant.__getitem__
+        return [b"".join(map(get, line)) for line in lines]
+
+
+_coders: dict[tuple[str, str], Coder] = {}
+
+
+def coder_of(path: str, pattern: str) -> Coder:
+    """This process's coder: tasks that run here one after another share its tables and the pieces that it knows."""
+    if (path, pattern) not in _coders:
+        _coders.clear()
+        _coders[path, pattern] = Coder(path, pattern)
+    return _coders[path, pattern]
 
 
 def _sha(b: bytes) -> str:
@@ -236,9 +260,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder = coder_of(path, pattern)
         for whole in batches:
-            coder = coder or Coder(path, pattern)
             for batch in slices(whole, "text", SLICE):
                 coded = coder.encode([t.as_py().decode() for t in utf8(batch.column("text"))])
                 decoded = pa.array([_sha(b) for b in coder.decode(coded)], pa.string())
@@ -248,7 +271,5 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="
                 if with_ids:
                     out.append(pa.array([list(map(int, line.split())) for line in lines], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
-        if coder:
-            coder.close()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
