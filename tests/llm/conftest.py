@@ -1,0 +1,33 @@
+import pytest
+
+from tests.conftest import SMALL
+
+LONG = " ".join(f"w{k % 7919}" for k in range(60_000))
+PASSAGE = " ".join(f"p{k}" for k in range(60))
+#: Null, empty, blank, tiny and very long texts, repeated rows and ids, null ids, odd characters.
+EDGE = [
+    (0, ""), (1, None), (2, " \n\t "), (3, "a"), (None, "x y z"), (4, LONG), (5, "same words here"), (5, "same words here"), (6, "Same Words HERE"), (5, "other text under one id"),
+    (7, PASSAGE + " tail one"), (8, "head " + PASSAGE), (9, "é" * 300), (10, "日本 語 😀 \x1c x\xa0y"), (11, "la la " * 40), (12, "1234 5678"), (None, None), (13, "!" * 70 + "\r\n\x0b"),
+]
+
+
+@pytest.fixture(scope="session")
+def edge(spark):
+    """The edge cases with further columns, whose names operators use themselves."""
+    rows = [(i, t, "x", 1, 2.0, k) for k, (i, t) in enumerate(EDGE)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, key string, _text int, score double, row int")
+
+
+@pytest.fixture(scope="session")
+def none(edge):
+    return edge.limit(0)
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="session")
+def texts(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

@@ -36,7 +36,10 @@ def delimiter_class(delimiters: str | None) -> str:
 def words(text: Column, delimiters: str | None = None, keep_numbers: bool = False) -> Column:
     """The array of a text's words: parted by delimiters, upper case, two characters or more, without digits unless
     keep_numbers. Null for a null text."""
-    found = F.split(simple_upper(text), delimiter_class(delimiters))
+    if (delimiters or "").upper() == (delimiters or "").lower():
+        found = F.split(simple_upper(text), delimiter_class(delimiters))
+    else:  # delimiters are looked for in the text as it is
+        found = F.transform(F.split(text, delimiter_class(delimiters)), simple_upper)
     if keep_numbers:
         return F.filter(found, lambda w: F.length(w) > 1)
     return F.filter(found, lambda w: (F.length(w) > 1) & ~F.rlike(w, F.lit(r"\p{Nd}")))

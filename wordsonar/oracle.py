@@ -30,8 +30,8 @@ def values(rows: list[tuple], columns: str) -> str:
 
 def posts(rows: str, delimiters: str | None = None, numbers: bool = False) -> str:
     digits = "" if numbers else r" AND NOT regexp_matches(term, '\p{Nd}')"
-    parts = f"SELECT id, unnest(regexp_split_to_array({upper('text')}, {lit(delimiter_class(delimiters))})) AS term FROM ({rows})"
-    return f"SELECT DISTINCT term, id FROM ({parts}) WHERE length(term) > 1{digits}"
+    parts = f"SELECT id, unnest(regexp_split_to_array(text, {lit(delimiter_class(delimiters))})) AS term FROM ({rows})"
+    return f"SELECT DISTINCT term, id FROM (SELECT id, {upper('term')} AS term FROM ({parts})) WHERE length(term) > 1{digits}"
 
 
 # --- exact ---
@@ -204,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "no_number_search": f"""SELECT term, count(*) AS n_ids FROM ({posts("SELECT c_custkey AS id, 'Name ' || c_name AS text FROM customer")}) GROUP BY term""",
         "delimited_source": "WITH line AS (SELECT p_partkey || ';' || p_name AS line FROM part), "
         + search("SELECT try_cast(trim(substr(line, 1, strpos(line, ';') - 1)) AS BIGINT) AS id, trim(substr(line, strpos(line, ';') + 1)) AS text FROM line", exact_hits(["RED"], Location.BEGIN_WORD), ["RED"], MatchMode.ALL_TERMS)[5:],
-        "delimited_parse": _line_sql("line_no, id, text, problem"),
+        "delimited_parse": _line_sql("line_no, coalesce(id::VARCHAR, '') AS id, coalesce(text, '') AS text, coalesce(problem, '') AS problem"),
         "delimited_lenient": _line_sql("id, text", "WHERE problem IS NULL"),
         "keyboard_distance": f"SELECT t AS term, d FROM ({dynamic('WIDGTE', f'SELECT DISTINCT term AS t FROM ({parts}) WHERE length(term) = 6')})",
         "phonetic_keys": f"""SELECT id, CASE WHEN regexp_matches(text, '^[A-Za-z]+$') THEN 'Unknown' ELSE 'RussianCyrillic' END AS language,

@@ -50,7 +50,7 @@ NEAR = {
     "near_all": (PARTS, "rde widgte", BEGIN, ALL, 2, -1, False),
     "near_any": (PARTS, "rde boly", BEGIN, ANY, 2, -1, False),
     "near_soft": (PARTS, "rde widgte smsll", BEGIN, SOFT, 2, -1, False),
-    "near_documents": (DOCS, "thanr", BEGIN, ALL, 2, -1, False),
+    "near_documents": (DOCS, "thanr", BEGIN, ALL, 1, -1, True),
 }
 #: Sound searches over NAMES: query, mode.
 SOUND = {"phonetic_find": ("Иванов Петров", ANY), "phonetic_prefix": ("Папандо", ANY), "phonetic_close": ("Тирентев", ALL), "phonetic_soft": ("Анна Иванова", SOFT)}
@@ -120,7 +120,8 @@ def delimited_source(spark, sf_dir):
 
 
 def delimited_parse(spark, sf_dir):
-    return records.parse_lines(records.lines_of(spark, LINES), ";", "int")
+    parsed = records.parse_lines(records.lines_of(spark, LINES), ";", "int")
+    return parsed.select("line_no", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("id", "text", "problem")])
 
 
 def delimited_lenient(spark, sf_dir):
