@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
 
 
 def _byte_counts(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps.view(np.uint8).reshape(-1, 8))
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8))
 
 
 class _Laid:
