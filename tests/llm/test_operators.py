@@ -223,7 +223,7 @@ def test_class_bigrams_are_a_distribution(spark):
 
 def test_exchange_raises_likelihood():
     r = np.random.default_rng(0)
-    group = np.arange(31) % 3
+    group = r.integers(0, 3, 31)
     pairs = r.poisson(np.where((group[:, None] + 1) % 3 == group[None, :], 6.0, 0.3))
 
     def likelihood(of):
@@ -233,7 +233,7 @@ def test_exchange_raises_likelihood():
 
     of = brown.exchange(pairs, 4)
     start = np.append(np.arange(30) % 3, 3)
-    assert likelihood(of) >= max(likelihood(np.append(r.permutation(start[:-1]), 3)) for _ in range(50)) and likelihood(of) >= 0.95 * likelihood(np.append(group[:-1], 3))
+    assert likelihood(of) >= max(likelihood(np.append(r.permutation(start[:-1]), 3)) for _ in range(50)) and likelihood(of) >= likelihood(np.append(group[:-1], 3)) - 1e-6
 
 
 def edited(some):

@@ -63,10 +63,7 @@ class Table:
 
 def extended(schema: StructType, **more: str) -> StructType:
     """A new schema with further columns; StructType.add would change the DataFrame's own."""
-    out = StructType(list(schema.fields))
-    for name, kind in more.items():
-        out = out.add(name, kind)
-    return out
+    return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more.items())).fields])
 
 
 def utf8(column: pa.Array) -> pa.Array:

@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash, with DataFrame functions only.
 
-A text's paragraphs (lines) and their clauses (cut after . ! ? , ; : |) are hashed to 64 bits. The fingerprint is a sum
+A text's paragraphs (lines) and their clauses (parted by . ! ? , ; : |, blank ones left out) are hashed to 64 bits. The fingerprint is a sum
 of wide vectors over them, so it does not depend on their order, and a paragraph is inserted or deleted by adding or
 subtracting its own vector:
 
@@ -37,7 +37,7 @@ def parts(text: Column, edited: bool) -> Column:
     one = lambda whole, h: F.struct(F.lit(edited).alias("edited"), F.lit(whole).alias("whole"), h.alias("h"))
     return F.concat(
         F.transform(F.split(text, "\n"), lambda p: one(True, F.xxhash64(p))),
-        F.transform(F.split(text, "[.!?,;:|\n]+"), lambda c: one(False, F.xxhash64(F.trim(c)))),
+        F.transform(F.filter(F.split(text, "[.!?,;:|\n]+"), lambda c: F.trim(c) != ""), lambda c: one(False, F.xxhash64(F.trim(c)))),
     )
 
 
