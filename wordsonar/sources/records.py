@@ -41,7 +41,8 @@ def parse_id(text: Column, kind: str) -> Column:
         return F.when(F.rlike(text, F.lit(_GUID)), dashed)
     # fewer digits than a decimal holds, without leading zeros
     number = F.when(F.rlike(text, F.lit(r"^\s*[+-]?\d+\s*$")), F.regexp_replace(F.regexp_replace(text, r"\s", ""), r"^([+-]?)0+(?=\d)", "$1")).try_cast("decimal(38,0)")
-    return F.when(number.between(F.lit(low), F.lit(high)), number).try_cast(to)
+    bound = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    return F.when(number.between(bound(low), bound(high)), number).try_cast(to)
 
 
 def lines_of(spark: SparkSession, lines: list[str | None]) -> DataFrame:
