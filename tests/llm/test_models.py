@@ -233,3 +233,11 @@ def test_pipeline_edges(spark, edge):
             docs = stage(spark, docs, SMALL)
             assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == table.columns
         docs.collect()
+
+
+def test_ranks_in_pieces(texts, monkeypatch):
+    some = [t for _, t in texts[:4]] + ["é" * 90, ""]
+    whole = langid.Ranked(some, 300)
+    monkeypatch.setattr(langid, "SLICE", 37)
+    pieces = langid.Ranked(some, 300)
+    assert all((getattr(whole, x) == getattr(pieces, x)).all() for x in ("doc", "rank", "code", "count"))

@@ -5,9 +5,9 @@ blank). A document's n-grams are ranked by frequency in the same way, and its di
 most frequent `size` n-grams of how far each is out of place: the difference of the ranks, or `size` where the profile
 lacks the n-gram. The nearest profile's language is predicted.
 
-Profiles are learned from at most PER_LANGUAGE labelled documents of a language, those with the least hashes, and hold
-at most `size` n-grams each, so what goes to the executors has a bound. Whole texts are counted, in numpy, in slices of
-bounded size; nothing is shuffled.
+Profiles are learned from about PER_LANGUAGE labelled documents of a language: where there are more, a share drawn by a
+hash of id and text. They hold at most `size` n-grams each, so what goes to the executors has a bound. Whole texts are
+counted where they are, in numpy, in slices of bounded size (a long text in several); only counts are shuffled.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where no language was learned; ties
 of frequency go by the n-gram's code, ties of distance to the first language by name; repeated rows give repeated
@@ -44,37 +44,59 @@ def _letters() -> np.ndarray:
 _table: np.ndarray | None = None
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, n-gram code) of every n-gram of the texts."""
+def _grams(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place, n-gram code) of every n-gram of a lower-cased text; an n-gram's place is that of its middle letter."""
     global _table
     if _table is None:
         _table = _letters()
-    joined = " ".join(texts).lower() if len(texts) == 1 else "\n".join(t.lower() for t in texts)
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = np.array([len(t.lower()) for t in texts], dtype=np.int64) + 1
-    doc = np.repeat(np.arange(len(texts)), sizes)[: len(chars)]
-    c = _table[chars]
+    c = _table[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     # pads: 0 stands for whatever is not a letter, so a word's neighbours are its pads
     before, after = np.concatenate(([0], c[:-1])), np.concatenate((c[1:], [0]))
     at = np.flatnonzero(c)
     one, b, a = c[at], before[at], after[at]
     pad = np.flatnonzero(b == 0)
-    d = doc[at]
-    docs = np.concatenate((d, d, d, d[pad]))
     codes = np.concatenate((one, (one << 14 | a) + (1 << 42), (b << 28 | one << 14 | a) + (2 << 42), (one[pad]) + (1 << 42)))
-    return docs, codes
+    return np.concatenate((at, at, at, at[pad])), codes
+
+
+def _counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with how often each occurs, or the sum of its weights."""
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(keys))) if weights is None else np.add.reduceat(weights, first) if len(keys) else weights
+    return keys[first], counts
+
+
+def counts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """document << 44 | n-gram code of every n-gram of the texts, ascending, and its count. A text beyond SLICE
+    characters is counted piece by piece, each with one character more at either end."""
+    low = [t.lower() for t in texts]
+    short = [k for k, t in enumerate(low) if len(t) <= SLICE]
+    place, codes = _grams("\n".join([low[k] for k in short]))
+    doc = np.repeat(np.array(short, dtype=np.int64), [len(low[k]) + 1 for k in short])
+    keys, counts = _counted(doc[place] << 44 | codes)
+    for k, t in enumerate(low):
+        if len(t) > SLICE:
+            own, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for i in range(0, len(t), SLICE):
+                lead = min(i, 1)
+                place, codes = _grams(t[i - lead : i + SLICE + 1])
+                found, m = _counted(codes[(place >= lead) & (place < lead + SLICE)])
+                own, n = _counted(np.concatenate((own, found)), np.concatenate((n, m)))
+            keys, counts = np.concatenate((keys, k << 44 | own)), np.concatenate((counts, n))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order]
 
 
 class Ranked:
     """Each document's `size` most frequent n-grams with their ranks from 0."""
 
     def __init__(self, texts: list[str], size: int):
-        docs, codes = _codes(texts)
-        order = docs << 44 | codes
-        order.sort()
-        first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(first, len(order)))
-        keys = order[first]
+        keys, counts = counts_of(texts)
         doc = keys >> 44
         by = doc << _COUNT | np.maximum(0, (1 << _COUNT) - 1 - counts)
         place = np.argsort(by, kind="stable")
@@ -116,24 +138,27 @@ def _strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def learn(labelled: DataFrame, text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE, size: int = SIZE) -> Profiles:
-    """Profiles from (text, language) rows; rows where either is null teach nothing."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    # the rows of least hash of each language: first within each partition, then of these
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
-    first = Window.partitionBy("lang", "part").orderBy("h", "text")
-    some = rows.select("lang", "h", "text", F.row_number().over(first).alias("n"), "part").where(F.col("n") <= per_language)
-    some = some.select("lang", "h", "text", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")).alias("n")).where(F.col("n") <= per_language)
+def learn(labelled: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", per_language: int = PER_LANGUAGE, size: int = SIZE) -> Profiles:
+    """Profiles from (text, language) rows; rows where either is null teach nothing. The id, if there is one, only lets
+    a draw tell copies apart."""
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    many = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each language
+    if not many:
+        return Profiles({}, size)
+    share = F.create_map(*[F.lit(x) for lang, n in many for x in (lang, min(1.0, per_language / n))])
+    drawn = F.pmod(F.xxhash64(*[F.col(c) for c in (id_col, text_col) if c in labelled.columns]), F.lit(1 << 30)) < F.lit(1 << 30) * share[F.col(lang_col)]
+    some = rows.where(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 for lang in set(langs := batch.column("lang").to_pylist()):
                     texts = [t for t, x in zip(_strings(batch, "text"), langs, strict=True) if x == lang]
-                    codes, counts = np.unique(_codes(texts)[1], return_counts=True)
+                    keys, counts = counts_of(texts)
+                    codes, counts = _counted(keys & ((1 << 44) - 1), counts)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
-    counts = some.select("lang", "text").mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= size)
     profiles: dict[str, list[int]] = {}
     for lang, code, _ in sorted(top.select("lang", "code", "r").collect(), key=lambda x: (x[0], x[2])):

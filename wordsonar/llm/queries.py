@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _held_out(modulus: int, remainder: int):
-    """True for the documents that are kept from learning, by their ids."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+    """True for the documents that are kept from learning, by their ids; false without an id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = brown.learn(docs.where(~F.coalesce(_held_out(5, 1), F.lit(False))))
-    return brown.score(docs, model).withColumn("held_out", F.coalesce(_held_out(5, 1), F.lit(False)))
+    model = brown.learn(docs.where(~_held_out(5, 1)))
+    return brown.score(docs, model).withColumn("held_out", _held_out(5, 1))
 
 
 def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out(4, 2).alias("held_out"))
-    profiles = langid.learn(docs.where("not held_out").select("text", "lang"))
+    profiles = langid.learn(docs.where("not held_out").select("doc_id", "text", "lang"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
 
 
