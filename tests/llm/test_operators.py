@@ -261,9 +261,12 @@ def test_multiset(spark, texts, edge, none):
 
 def test_multiset_across_ranges(spark, texts, monkeypatch):
     monkeypatch.setattr(multiset, "RANGE", 7)
-    some = [(i * i if i else i, t) for i, t in texts[:60]]
-    df = spark.createDataFrame(some, "doc_id bigint, text string")
-    assert rows(multiset.report(df), "doc_id", "n_chars", "edited_sha256") == sorted(edited(some), key=repr)
+    for name in (lambda i: i * i, lambda i: 2**62 if i == 5 else i - 30, lambda i: 7 if 10 < i < 40 else i):
+        some = [(name(i), t) for i, t in texts[:60]]
+        df = spark.createDataFrame(some, "doc_id bigint, text string")
+        assert rows(multiset.report(df), "doc_id", "n_chars", "edited_sha256") == sorted(edited(some), key=repr)
+        sizes = [r["count"] for r in multiset._ranges(df)[0].groupBy("range").count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 45
 
 
 def test_multiset_is_homomorphic(spark):

@@ -20,6 +20,9 @@ no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ STRONG, WIDE = 6, 32
 LANES = 3 * WIDE
 _MASK = 1 | 1 << 20 | 1 << 40
 _LOW32, _LOW20 = (1 << 32) - 1, (1 << 20) - 1
-#: Documents in a range of ids where ids are dense, and ranges at most: one id of each is broadcast.
-RANGE, RANGES = 512, 1 << 15
+#: Documents in a range of ids, about, and ranges at most: one id of each is broadcast.
+RANGE, RANGES = 512, 1 << 14
 
 
 def parts(text: Column, edited: bool) -> Column:
@@ -91,12 +94,21 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def _ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with the column range, and (range, guard, id): the range that each range's first document ends."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    count = min(RANGES, -(-n // RANGE) or 1)
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) / count)
-    at = F.least(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width), F.lit(count - 1)).cast("int")
-    docs = docs.withColumn("range", F.coalesce(at, F.lit(-1)))
+    """docs with the column range, and (range, guard, id): the range that each range's first document ends. Ranges part at
+    quantiles of the ids, so they hold about as many documents each, however the ids are spread."""
+    count = min(RANGES, -(-docs.count() // RANGE) or 1)
+    cuts: list[int] = []
+    if count > 1:
+        places = ", ".join(f"{i / count!r}D" for i in range(1, count))
+        cuts = sorted(set(docs.agg(F.expr(f"percentile_approx(doc_id, array({places}), {4 * count})")).first()[0] or []))
+    # the range of an id is found in two steps, over about as many cuts each
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    starts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
+    inner = F.from_json(F.lit(json.dumps([[], *groups])), "array<array<bigint>>")
+    below = lambda cuts: F.size(F.filter(cuts, lambda x: x <= F.col("doc_id")))
+    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(below(starts)))
+    docs = docs.withColumn("range", F.when(F.col("range") > 0, (F.col("range") - 1) * step + below(F.element_at(inner, F.greatest("range", F.lit(0)) + 1))).otherwise(F.col("range")))
     firsts = docs.groupBy("range").agg(F.min("doc_id").alias("id"))
     by = Window.partitionBy(F.lit(0)).orderBy("range")
     whole = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
