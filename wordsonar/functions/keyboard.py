@@ -4,41 +4,32 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Code of a key, and the characters that it types in either layout.
-_TYPED = (
-    "192`~Ё 81QЙ 87WЦ 69EУ 82RК 84TЕ 89Y>Н 85UГ 73IШ 79OЩ 80PЗ 219[{Х 221]}Ъ 65AФ 83SЫ 68DВ 70FА 71GП 72HР 74JО 75KЛ "
-    "76LД 222'Э 90ZЯ 88XЧ 67CС 86VМ 66BИ 78NТ 77MЬ 191,./ 188<Б 189-_ 187=+ 58) 124| 8211– 186Ж 190Ю"
-)
-#: Keys that type digits or whose characters would read as digits above.
-_ROW = {48: "0", 49: "1!", 50: '@"2', 51: "#3№", 52: ";$4", 53: "5%", 54: "^:6", 55: "&?7", 56: "8*", 57: "9("}
-
-#: A key's neighbours; three of the steps lead one way only (192 to 49, 186 to 188, 190 to 186).
-_BESIDE = """
-192:49 49:50,81 50:49,51,81,87 51:50,52,69,87 52:51,53,69,82 53:52,54,82,84 54:53,55,84,89 55:54,56,85,89 56:55,57,73,85
-57:48,56,73,79 48:57,79,80,189 189:48,80,187,219 187:189,219,221 81:49,50,65,87 87:50,51,65,69,81,83
-69:51,52,68,82,83,87 82:52,53,68,69,70,84 84:53,54,70,71,82,89 89:54,55,71,72,84,85 85:55,56,72,73,74,89
-73:56,57,74,75,79,85 79:48,57,73,75,76,80 80:48,76,79,186,189,219 219:80,186,187,189,221,222 221:187,219,222
-65:81,83,87,90 83:65,68,69,87,88,90 68:67,69,70,82,83,88 70:67,68,71,82,84,86 71:66,70,72,84,86,89 72:66,71,74,78,85,89
-74:72,73,75,77,78,85 75:73,74,76,77,79,188 76:75,79,80,186,188,190 186:76,80,188,191,219,222 222:186,191,219,221
-90:65,83,88 88:67,68,83,90 67:68,70,86,88 86:66,67,70,71 66:71,72,78,86 78:66,72,74,77 77:74,75,78,188 188:75,76,77,190
-190:76,186,188,191 191:186,190,222
-"""
-
-
-def _typed() -> dict[str, int]:
-    found = {c: code for code, chars in _ROW.items() for c in chars}
-    for key in _TYPED.split():
-        digits = len(key) - len(key.lstrip("0123456789"))
-        found |= dict.fromkeys(key[digits:], int(key[:digits]))
-    return found
-
+#: The code of each key, and the characters that it types in either layout.
+TYPED: dict[int, str] = {
+    48: "0", 49: "1!", 50: "2@\"", 51: "3#№", 52: "4$;", 53: "5%", 54: "6^:", 55: "7&?", 56: "8*", 57: "9(", 58: ")",
+    65: "AФ", 66: "BИ", 67: "CС", 68: "DВ", 69: "EУ", 70: "FА", 71: "GП", 72: "HР", 73: "IШ", 74: "JО", 75: "KЛ", 76: "LД", 77: "MЬ",
+    78: "NТ", 79: "OЩ", 80: "PЗ", 81: "QЙ", 82: "RК", 83: "SЫ", 84: "TЕ", 85: "UГ", 86: "VМ", 87: "WЦ", 88: "XЧ", 89: "YН>", 90: "ZЯ",
+    124: "|", 186: "Ж", 187: "=+", 188: "<Б", 189: "-_", 190: "Ю", 191: ",./", 192: "`~Ё", 219: "[{Х", 221: "]}Ъ", 222: "'Э", 8211: "–",
+}
+
+#: A key's neighbours. Three of the steps lead one way only (192 to 49, 186 to 188, 190 to 186).
+BESIDE: dict[int, frozenset[int]] = {
+    key: frozenset(around)
+    for key, around in {
+        48: (57, 79, 80, 189), 49: (50, 81), 50: (49, 51, 81, 87), 51: (50, 52, 69, 87), 52: (51, 53, 69, 82), 53: (52, 54, 82, 84),
+        54: (53, 55, 84, 89), 55: (54, 56, 85, 89), 56: (55, 57, 73, 85), 57: (48, 56, 73, 79), 65: (81, 83, 87, 90), 66: (71, 72, 78, 86),
+        67: (68, 70, 86, 88), 68: (67, 69, 70, 82, 83, 88), 69: (51, 52, 68, 82, 83, 87), 70: (67, 68, 71, 82, 84, 86), 71: (66, 70, 72, 84, 86, 89),
+        72: (66, 71, 74, 78, 85, 89), 73: (56, 57, 74, 75, 79, 85), 74: (72, 73, 75, 77, 78, 85), 75: (73, 74, 76, 77, 79, 188),
+        76: (75, 79, 80, 186, 188, 190), 77: (74, 75, 78, 188), 78: (66, 72, 74, 77), 79: (48, 57, 73, 75, 76, 80), 80: (48, 76, 79, 186, 189, 219),
+        81: (49, 50, 65, 87), 82: (52, 53, 68, 69, 70, 84), 83: (65, 68, 69, 87, 88, 90), 84: (53, 54, 70, 71, 82, 89), 85: (55, 56, 72, 73, 74, 89),
+        86: (66, 67, 70, 71), 87: (50, 51, 65, 69, 81, 83), 88: (67, 68, 83, 90), 89: (54, 55, 71, 72, 84, 85), 90: (65, 83, 88),
+        186: (76, 80, 188, 191, 219, 222), 187: (189, 219, 221), 188: (75, 76, 77, 190), 189: (48, 80, 187, 219), 190: (76, 186, 188, 191),
+        191: (186, 190, 222), 192: (49,), 219: (80, 186, 187, 189, 221, 222), 221: (187, 219, 222), 222: (186, 191, 219, 221),
+    }.items()
+}
 
 #: Character to key code: upper-case letters, digits and signs.
-KEY_OF: dict[str, int] = _typed()
-#: Key code to the codes of its neighbours.
-BESIDE: dict[int, frozenset[int]] = {
-    int(a): frozenset(map(int, b.split(","))) for a, _, b in (entry.partition(":") for entry in _BESIDE.split())
-}
+KEY_OF: dict[str, int] = {c: key for key, chars in TYPED.items() for c in chars}
 
 
 def cost(a: str, b: str) -> int:

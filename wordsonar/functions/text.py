@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that part words unless an index is given its own.
+#: The characters that part words unless an index is given its own.
 DELIMITERS = ".,()-:;!?\"\\'$_=[]<>/«»“” …’\t"
 
 #: Characters whose upper case is longer, or another script's letter; they stay as they are.

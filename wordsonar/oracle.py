@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import keyboard
-from .functions.phonetic import keys_str
+from .functions.phonetic import STRICT, VOWELS, keys_str
 from .functions.text import delimiter_class, query_terms
 from .model import Location, MatchMode, Options, SearchType
 from .queries import BATCH, CUSTOMERS, DOCS, EXACT, LINES, NAMES, NEAR, PARTS, SOFT, SOUND
@@ -128,9 +128,9 @@ _DOUBLES = "array_to_string(list_filter(string_split({x}, ''), lambda c, i: i =
 def sound(text: str, approx: bool = True) -> str:
     """The key of a name in Cyrillic letters; '' for others."""
     plain = f"translate(upper(regexp_replace({text}, '[\\s–—''’-]', '', 'g')), 'ЁЬЪ', 'Е')"
-    x = f"translate({plain}, 'БВГХДЖЩЧЗЦЙЫЮЯЭ', 'ПФККТШШШССИИУАЕ')"
+    x = f"translate({plain}, '{STRICT[0]}', '{STRICT[1]}')"
     if approx:
-        x = f"translate({x}, 'ОЕЭЫ', 'АИИИ')"
+        x = f"translate({x}, '{VOWELS[0]}', '{VOWELS[1]}')"
     return f"CASE WHEN regexp_matches({plain}, '^[А-Я]+$') THEN {_DOUBLES.format(x=x)} ELSE '' END"
 
 
