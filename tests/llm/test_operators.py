@@ -210,6 +210,15 @@ def test_class_bigrams_edges(edge, none, head):
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in brown.score(edge, brown.learn(none)).collect())
 
 
+def test_most_frequent(spark):
+    made = {str(k).encode(): 5000 // (k + 1) for k in range(3000)}
+    df = spark.createDataFrame(list(made.items()), "word binary, n bigint")
+    order = sorted(made, key=lambda w: (-made[w], w))
+    words, counts = brown.most_frequent(df, 500)
+    assert 400 < len(words) < 600 and words[:300] == order[:300] and counts[:300] == [made[w] for w in order[:300]]
+    assert brown.most_frequent(df, 5000)[0] == order and brown.most_frequent(df.limit(0), 5) == ([], [])
+
+
 def test_class_bigrams_are_a_distribution(spark):
     r = random.Random(8)
     made = [" ".join(r.choice(("aa bb cc", "xx yy zz")[k % 2].split()) for _ in range(30)) for k in range(40)]
