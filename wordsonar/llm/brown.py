@@ -283,20 +283,18 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
                 more = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *more], names=names)
 
-    # a row's own key: equal rows have equal sums, so they may share one
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(id_col).cast("bigint"), text_col).alias("row"), F.col(text_col).alias("text"))
+    # a row's own number, which stays as it is once the table is written
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, row bigint, n_tokens bigint, known bigint, logs double, kinds double, words array<binary>, times array<bigint>"
     coded = Table(source.mapInArrow(run, schema), "coded").df
     tail = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
-    # equal rows: the sums of all are divided by how many there are
-    many = coded.groupBy("row").agg(F.count("*").alias("many"))
     met = tail.join(model.counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("log_more"))
-    both = coded.drop("words", "times").join(many, "row").join(met, "row", "left")
-    known = F.col("known") + F.coalesce("more", F.lit(0)) / F.col("many")
+    both = coded.drop("words", "times").join(met, "row", "left")
+    known = F.col("known") + F.coalesce("more", F.lit(0))
     unknown = (F.col("n_tokens") - known) * F.log10(F.lit(0.5))
-    logs = F.col("logs") + F.coalesce("log_more", F.lit(0.0)) / F.col("many") + unknown
+    logs = F.col("logs") + F.coalesce("log_more", F.lit(0.0)) + unknown
     norm = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
     return both.select(
-        "doc_id", "n_tokens", F.round(known).cast("bigint").alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
+        "doc_id", "n_tokens", known.cast("bigint").alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
         (logs - F.col("n_tokens") * norm).alias("base_score"), (logs + F.col("kinds")).alias("score"),
     )

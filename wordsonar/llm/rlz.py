@@ -117,9 +117,10 @@ def _windows(packed: DataFrame, window: int) -> DataFrame:
     names = ["anchor", "content", "hash", "start"]
 
     def rows(text: bytes, blocks: list[int]) -> tuple:
-        b, ats = Blocks(words := word_hashes(text), window), np.array(sorted(blocks))
+        b, ats = Blocks(words := word_hashes(text), window), np.array(sorted(blocks), dtype=np.int64)
+        ats = ats[ats < len(b.at)]  # others belong to a text whose key has the same hash
         counts = b.last[ats] - b.first[ats] + 1
-        start = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        start = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
         at = np.repeat(ats, counts)
         first = b.first[at] + start
         return signed(b.keys[at]), signed(b.contents()[at]), signed(Runs(words, 2).of(first, first + window)), start
@@ -164,6 +165,8 @@ def removed_words(words: np.ndarray, spans: list[dict], window: int) -> np.ndarr
     b, n = Blocks(words, window), len(words)
     edge = np.zeros(n + 1, dtype=np.int32)
     for s in spans:
+        if s["at"] >= len(b.at):  # of a text whose key has the same hash
+            continue
         first, count, mask = b.first[s["at"]], b.last[s["at"]] - b.first[s["at"]] + 1, s["mask"]
         if mask == -1:
             starts = np.arange(first, first + count)
