@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, brown, chat, langid, multiset, rlz, simhash, toxicity, warc, wumanber
+from .oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +78,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_brown, op4_rlz, op5_language, op6_byte_bpe, op7_chat, op8_multiset, op9_simhash, op10_decontaminate)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
