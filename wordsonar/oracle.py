@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import keyboard
-from .functions.phonetic import STRICT, VOWELS, keys_str
+from .functions.phonetic import APART, ENDS, MARKS, SOUNDS, STRICT, VOWELS, keys_str
 from .functions.text import delimiter_class, query_terms
 from .model import Location, MatchMode, Options, SearchType
-from .queries import BATCH, CUSTOMERS, DOCS, EXACT, LINES, NAMES, NEAR, PARTS, SOFT, SOUND
+from .queries import BATCH, CUSTOMERS, DOCS, EXACT, LATIN_NAMES, LINES, NAMES, NEAR, PARTS, SOFT, SOUND
 
 
 def lit(text: str) -> str:
@@ -134,6 +134,16 @@ def sound(text: str, approx: bool = True) -> str:
     return f"CASE WHEN regexp_matches({plain}, '^[А-Я]+$') THEN {_DOUBLES.format(x=x)} ELSE '' END"
 
 
+def latin_names() -> str:
+    """id, language, cyrillic, approx of names in Latin letters: cut into spellings, the first that fits at each place."""
+    cut = f"regexp_extract_all(upper(text), {lit('|'.join(s for s, _ in SOUNDS) + f'|{APART}|.')})"
+    letter = "CASE " + " ".join(f"WHEN c = {lit(s)} THEN {lit(c)}" for s, c in SOUNDS) + f" WHEN regexp_matches(c, {lit(APART)}) THEN '' END"
+    spelled = f"SELECT id, text, list_transform({cut}, lambda c: {letter}) AS parts FROM ({values(LATIN_NAMES, 'id, text')})"
+    written = f"""SELECT id, CASE WHEN regexp_matches(upper(text), {lit(f"{MARKS}|({ENDS})$")}) THEN 'RussianLatin' ELSE 'Unknown' END AS language,
+        CASE WHEN list_contains(list_transform(parts, lambda c: c IS NULL), true) THEN '' ELSE array_to_string(parts, '') END AS cyrillic FROM ({spelled})"""
+    return f"SELECT id::BIGINT AS id, language, cyrillic, CASE WHEN language = 'Unknown' THEN '' ELSE {sound('cyrillic')} END AS approx FROM ({written})"
+
+
 def sound_posts(rows: str) -> str:
     return f"SELECT DISTINCT key AS term, id FROM (SELECT id, {sound('term')} AS key FROM ({posts(rows)})) WHERE key <> ''"
 
@@ -210,6 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "phonetic_keys": f"""SELECT id, CASE WHEN regexp_matches(text, '^[A-Za-z]+$') THEN 'Unknown' ELSE 'RussianCyrillic' END AS language,
             {sound('text', False)} AS strict, {sound('text')} AS approx FROM ({people}) WHERE id NOT IN (14, 17)""",
         "phonetic_index": sound_posts(people),
+        "phonetic_latin": latin_names(),
         "deletion_index": f"""WITH v AS (SELECT DISTINCT term FROM ({parts}))
             SELECT substr(term, 1, i - 1) || substr(term, i + 1) AS variant, term AS key FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM v) UNION SELECT term, term FROM v""",
         "key_distribution": f"""WITH n AS ({named}), b AS (SELECT key, count(*) AS n FROM n WHERE key <> '' GROUP BY key)

@@ -18,6 +18,8 @@ NAMES = list(enumerate(
     "Иванов|Иванова|Петров|Петрова|Папондопуло|Папандопуло|Егор|Игорь|Терентьев|Тирентев|Забабонова|Забабанова|Щербаков|Смирнов Пётр|Соловьёв|"
     "Салтыков-Щедрин|Анна Иванова|Алла|Дьяченко|Семёнов|Симинов|Харламов|Карламов|Smith".split("|"), 1
 ))
+#: Names in Latin letters.
+LATIN_NAMES = list(enumerate("Ivanov|Shcherbakov|Tchaikovsky|Dzhafarov|D'Yachenko|Kharlamov|Smith|Maximov|Petrova-Tsch|Jones".split("|")))
 #: Lines of which some are bad.
 LINES = ["1;red bolt", " 2 ; blue;nut ", "", "x;green gear", "3", "4;", ";5", "+6;old ring", "2147483648;big", "12.5;half", "   ", "-7;last"]
 
@@ -143,8 +145,7 @@ def phonetic_index(spark, sf_dir):
 
 
 def phonetic_latin(spark, sf_dir):
-    rows = [(k, x) for k, x in enumerate("Ivanov|Shcherbakov|Tchaikovsky|Dzhafarov|D'Yachenko|Kharlamov|Smith|Maximov".split("|"))]
-    found = spark.createDataFrame(rows, "id bigint, text string")
+    found = spark.createDataFrame(LATIN_NAMES, "id bigint, text string")
     return found.select("id", phonetic.language(F.col("text")).alias("language"), phonetic.transliterated("text").alias("cyrillic"), phonetic.first_key(F.col("text")).alias("approx"))
 
 
