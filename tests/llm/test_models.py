@@ -241,3 +241,20 @@ def test_ranks_in_pieces(texts, monkeypatch):
     monkeypatch.setattr(langid, "SLICE", 37)
     pieces = langid.Ranked(some, 300)
     assert all((getattr(whole, x) == getattr(pieces, x)).all() for x in ("doc", "rank", "code", "count"))
+
+
+def test_warc_files(spark, tmp_path):
+    derived = warc.derive(warc.responses(spark.read.parquet(f"{SMALL}/pages.parquet").limit(20))).orderBy("record_id").cache()
+    made = sorted(bytes(r.record) for r in derived.collect())
+    for compression in (None, "gzip"):
+        at = str(tmp_path / str(compression))
+        warc.write(derived.repartition(3), at, compression)
+        back = warc.read(spark, at).collect()
+        assert all(r.whole for r in back) and len({r.page_id for r in back}) == len(made)
+        assert sorted((warc.parse(bytes(r.record)) for r in back), key=repr) == sorted(map(warc.parse, made), key=repr)
+    odd = tmp_path / "odd.warc"
+    block = b"HTTP/1.1 200 OK\r\n\r\n<p>\xff\r\n\r\nWARC/1.1\r\nx"
+    odd.write_bytes(warc.record([("WARC-Type", "response")], b"") + warc.record([("WARC-Type", "response")], block) + warc.record([("WARC-Type", "response")], b"\xfe<p>ok"))
+    back = warc.read(spark, str(odd))
+    assert sorted(r.whole for r in back.collect()) == [False, False, True, True]
+    assert warc.derive(back.where("whole")).where("warc_type = 'conversion'").count() == 2

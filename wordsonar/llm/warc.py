@@ -13,7 +13,7 @@ handled by linear scans.
 Defined results: a null record, one without a WARC version line or that isn't a response gives no derivatives; missing
 fields are left out, a missing record id gives derivatives without WARC-Refers-To; an empty payload gives an empty
 conversion; broken markup is read to the next tag or to the end; repeated rows give repeated records; extra columns are
-not read. In `responses` a null url gives no WARC-Target-URI, and a null page is an empty one.
+not read. Files are read and written by `read` and `write`. In `responses` a null url gives no WARC-Target-URI, and a null page is an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -158,6 +158,36 @@ def responses(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
     return rows.mapInArrow(run, "page_id bigint, record binary")
 
 
+def read(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """(page_id, record, whole) of the WARC files at a path, plain or compressed as a whole, by Spark's own reader: files
+    are cut where a record's end meets the next one's version line. A block that holds these bytes itself is cut there
+    too; `whole` is false if a record has less than its Content-Length says. page_id numbers the records of one read."""
+    between = f"\r\n\r\n{version}\r\n"
+    value = F.col("value").cast("binary")
+    lines = spark.read.text(path, lineSep=between).select(F.monotonically_increasing_id().alias("page_id"), value.alias("record"))
+    first = version.encode() + b"\r\n"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, whole = [], []
+            for data in batch.column("record"):
+                data = data.as_py()
+                made.append(data if data.startswith(first) else first + data)
+                fields, block = parse(made[-1]) or ({}, b"")
+                length = fields.get("content-length", "")
+                whole.append(length.isdigit() and len(block) == int(length))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(made, pa.binary()), pa.array(whole, pa.bool_())], names=["page_id", "record", "whole"])
+
+    return lines.mapInArrow(run, "page_id bigint, record binary, whole boolean")
+
+
+def write(derived: DataFrame, path: str, compression: str | None = None, record_col="record") -> None:
+    """The records as WARC files, one for each partition, by Spark's own writer. They must be UTF-8, as derivatives are."""
+    # a record ends in a line feed, which the writer puts after each row
+    text = F.expr(f"cast(substr({record_col}, 1, octet_length({record_col}) - 1) as string)")
+    derived.select(text.alias("value")).write.text(path, compression=compression, lineSep="\n")
+
+
 def derive(records: DataFrame, id_col="page_id", record_col="record") -> DataFrame:
     """Two rows for each response: page_id, warc_type, record_id, refers_to, target_uri, source_digest, block, record."""
     names = ["page_id", "warc_type", "record_id", "refers_to", "target_uri", "source_digest", "block", "record"]
