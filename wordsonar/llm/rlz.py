@@ -82,8 +82,12 @@ def _held(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(i, t).alias("key"), i.alias("id"), t.alias("text"))
 
 
+_NAMES = ["anchor", "content", "key", "first", "count"]
+
+
 def _anchors(held: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, key, at): the blocks of all documents; at numbers a document's blocks."""
+    """(anchor, content, key, first, count): the blocks of all documents; a block holds `count` windows from the word
+    `first` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -92,11 +96,11 @@ def _anchors(held: DataFrame, window: int) -> DataFrame:
                 for key, text in zip(batch.column("key").to_pylist(), utf8(batch.column("text")), strict=True):
                     b = Blocks(word_hashes(text.as_py()), window)
                     if len(b.at):
-                        parts.append((signed(b.keys), signed(b.contents()), np.full(len(b.at), key), np.arange(len(b.at), dtype=np.int32)))
+                        parts.append((signed(b.keys), signed(b.contents()), np.full(len(b.at), key), b.first.astype(np.int32), (b.last - b.first + 1).astype(np.int32)))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["anchor", "content", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=_NAMES)
 
-    return held.select("key", "text").mapInArrow(run, "anchor bigint, content bigint, key bigint, at int")
+    return held.select("key", "text").mapInArrow(run, "anchor bigint, content bigint, key bigint, first int, count int")
 
 
 def _pack(held: DataFrame, *columns: str) -> DataFrame:
@@ -116,14 +120,14 @@ def _windows(packed: DataFrame, window: int) -> DataFrame:
 
     names = ["anchor", "content", "hash", "start"]
 
-    def rows(text: bytes, blocks: list[int]) -> tuple:
-        b, ats = Blocks(words := word_hashes(text), window), np.array(sorted(blocks), dtype=np.int64)
-        ats = ats[ats < len(b.at)]  # others belong to a text whose key has the same hash
-        counts = b.last[ats] - b.first[ats] + 1
-        start = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-        at = np.repeat(ats, counts)
-        first = b.first[at] + start
-        return signed(b.keys[at]), signed(b.contents()[at]), signed(Runs(words, 2).of(first, first + window)), start
+    def rows(text: bytes, blocks: list[dict]) -> tuple:
+        words = word_hashes(text)
+        anchor, content, first, counts = (np.array([b[c] for b in blocks], dtype=np.int64) for c in ("anchor", "content", "first", "count"))
+        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(first, counts) + start
+        there = at + window <= len(words)  # others belong to a text whose key has the same hash
+        at = at[there]
+        return np.repeat(anchor, counts)[there], np.repeat(content, counts)[there], signed(Runs(words, 2).of(at, at + window)), start[there].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -142,38 +146,33 @@ def _windows(packed: DataFrame, window: int) -> DataFrame:
 
 
 def duplicate_blocks(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 35) -> DataFrame:
-    """(key, spans): for each document with recurring windows its blocks as an array of (at, mask); bit k of the mask is
-    set if the block's k-th window occurs elsewhere."""
+    """(key, spans): for each document with recurring windows its blocks as an array of (first, count, mask); bit k of the
+    mask is set if the block's k-th window occurs elsewhere."""
     held = _held(docs, id_col, text_col)
-    blocks = _anchors(held, window)
+    blocks = Table(_anchors(held, window), "anchors").df
     again = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("whole"))
-    again = Table(blocks.join(again, "anchor"), "blocks").df
-    contents = again.groupBy("anchor", "content", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
+    # a table of its own, so that a frequent anchor's blocks can be split in the join
+    again = Table(blocks.join(Table(again, "again").df, "anchor"), "blocks").df
+    contents = again.groupBy("anchor", "content", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
     contents = Table(contents, "contents").df
     # where blocks of an anchor differ, factors end: one of each kind shows its windows
-    ends = contents.where("not whole").groupBy("one.key").agg(F.collect_list("one.at").alias("blocks"))
+    one = F.struct("anchor", "content", "one.first", "one.count")
+    ends = contents.where("not whole").groupBy("one.key").agg(F.collect_list(one).alias("blocks"))
     windows = Table(_windows(_pack(held, "key").join(ends, "key").select("blocks", "packed"), window).distinct(), "windows").df
     seen = windows.groupBy("anchor", "hash").agg(F.count("*").alias("kinds")).where("kinds > 1")
     partial = windows.join(seen, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, start)")).alias("mask"))
     whole = contents.where("n > 1").select("anchor", "content", F.lit(-1).cast("bigint").alias("mask"))
     masks = whole.union(partial.join(contents.where("n = 1"), ["anchor", "content"]).select("anchor", "content", "mask"))
-    return again.join(masks, ["anchor", "content"]).groupBy("key").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
-
-
-def removed_words(words: np.ndarray, spans: list[dict], window: int) -> np.ndarray:
-    """True for each word that a recurring window covers."""
-    b, n = Blocks(words, window), len(words)
-    edge = np.zeros(n + 1, dtype=np.int32)
-    for s in spans:
-        if s["at"] >= len(b.at):  # of a text whose key has the same hash
-            continue
-        first, count, mask = b.first[s["at"]], b.last[s["at"]] - b.first[s["at"]] + 1, s["mask"]
-        if mask == -1:
-            starts = np.arange(first, first + count)
-        else:
-            starts = first + np.array([k for k in range(count) if mask >> k & 1], dtype=np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + window, -1)
+    return again.join(masks, ["anchor", "content"]).groupBy("key").agg(F.collect_set(F.struct("first", "count", "mask")).alias("spans"))
+
+
+def removed_words(n: int, spans: list[dict], window: int) -> np.ndarray:
+    """True for each of n words that a recurring window covers."""
+    first, counts, masks = np.array([(s["first"], s["count"], s["mask"]) for s in spans], dtype=np.int64).T
+    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.repeat(first, counts) + offset)[np.repeat(masks, counts) >> offset & 1 == 1]
+    starts = starts[starts + window <= n]  # others belong to a text whose key has the same hash
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -186,7 +185,7 @@ def _kept(text: bytes, spans, window: int) -> tuple[int, list[bytes]]:
     words = text.split()
     if not spans:
         return len(words), words
-    gone = removed_words(word_hashes(text), spans, window)
+    gone = removed_words(len(words), spans, window)
     return len(words), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
