@@ -14,8 +14,8 @@ EDGE = [
 @pytest.fixture(scope="session")
 def edge(spark):
     """The edge cases with further columns, whose names operators use themselves."""
-    rows = [(i, t, "x", 1, 2.0, k) for k, (i, t) in enumerate(EDGE)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, key string, _text int, score double, row int")
+    rows = [(i, t, "x", 1, 2.0, k, "y", 3, "z", 4) for k, (i, t) in enumerate(EDGE)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, key string, _text int, score double, row int, _key string, _spans int, _ string, _row int")
 
 
 @pytest.fixture(scope="session")

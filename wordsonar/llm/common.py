@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes that separate words: space and the control characters 9 to 13.
@@ -66,6 +67,19 @@ def extended(schema: StructType, **more: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more.items())).fields])
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with more underscores before it if a column has it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def held(columns: list[str]) -> Column:
+    """A struct of columns, to be carried along as they are; never without a field."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias(fresh("_", columns)))
+
+
 def utf8(column: pa.Array) -> pa.Array:
     """The column's texts as bytes; null gives no bytes."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, slices
+from .common import extended, held, slices
 
 #: Labelled documents of a language that its profile is learned from, and n-grams in a profile.
 PER_LANGUAGE, SIZE = 1000, 400
 UNKNOWN = "und"
 #: Characters of text in one set of arrays.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _COUNT = 22  # bits of a count when n-grams are ranked; larger counts tie
 
 
@@ -169,8 +169,8 @@ def learn(labelled: DataFrame, text_col="text", lang_col="lang", id_col="doc_id"
 def predict(docs: DataFrame, profiles: Profiles, text_col="text") -> DataFrame:
     """docs with the columns lang_pred and score; their other columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"))
-    schema = extended(held.schema, _lang="string", _score="double")
+    rows = docs.select(held([c for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_text"))
+    schema = extended(rows.schema, _lang="string", _score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -179,4 +179,4 @@ def predict(docs: DataFrame, profiles: Profiles, text_col="text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text"), pa.array(names, pa.string()), pa.array(scores)], names=["_row", "_text", "_lang", "_score"])
 
     kept = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return held.mapInArrow(run, schema).select(*kept, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return rows.mapInArrow(run, schema).select(*kept, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

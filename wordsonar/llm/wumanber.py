@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, utf8
+from .common import extended, held, utf8
 
 #: Upper-case ASCII goes to lower case, what is not part of a word to a space; bytes from 0x80 on belong to words.
 _TABLE = bytes(
@@ -165,12 +165,11 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", share: int = 20, **options) -> DataFrame:
     """The documents that aren't contaminated, with all their columns; rows stay in their task, nothing is shuffled."""
-    rest = [c for c in docs.columns if c != text_col]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"))
+    rows = docs.select(held([c for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_text"))
 
     def finish(batch, counts, spans, items):
         keep = [not (h > 0 and share * h >= n) for h, n in zip(map(covered, spans), counts, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text")], names=["_row", "_text"]).filter(pa.array(keep, pa.bool_()))
 
-    out = find(held, benchmark, finish=finish, schema=held.schema, **options)
+    out = find(rows, benchmark, finish=finish, schema=rows.schema, **options)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
