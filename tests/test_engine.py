@@ -44,6 +44,12 @@ def test_best_bucket(spark):
     assert built(spark, ["договор договра"]).find_buckets("договор", SearchRequest(search_type=NEAR, misprints=1)) == {0: [1]}
 
 
+def test_missing_bucket(spark):
+    found = built(spark, ["альфа"]).find_buckets("альфа")
+    assert found[0] == [1] and found[7] == () and found.has_any and list(found) == [0]
+    assert not built(spark, ["альфа"]).find_buckets("омега").has_any
+
+
 def test_substring(spark):
     assert built(spark, ["ultraprocessormodule"]).find_buckets("process", SearchRequest(search_type=NEAR, location=IN, misprints=0)) == {0: [1]}
 

@@ -15,6 +15,17 @@ from ..operators import match as _match
 from ..sources import records as _records
 
 
+class Buckets(dict):
+    """{score: ids ascending}, scores ascending. A score that no id has gives an empty tuple."""
+
+    def __missing__(self, score: int) -> tuple:
+        return ()
+
+    @property
+    def has_any(self) -> bool:
+        return bool(self)
+
+
 class Search:
     """Search by words over one index. Settings out of range are ignored when set, as they were.
 
@@ -170,7 +181,7 @@ class Search:
         except Exception as e:
             raise SearchError(ErrorCode.SEARCH_EXECUTION_FAILED, "the search failed") from e
 
-    def find_buckets(self, query: str, request: SearchRequest | None = None) -> dict[int, list]:
-        """{score: ids ascending}, scores ascending: for results small enough to look at."""
+    def find_buckets(self, query: str, request: SearchRequest | None = None) -> Buckets:
+        """The result by score, on the driver: for results small enough to look at."""
         rows = _combine.buckets(self.find(query, request)).orderBy("score").collect()
-        return {r.score: list(r.ids) for r in rows}
+        return Buckets((r.score, list(r.ids)) for r in rows)
