@@ -1,4 +1,4 @@
-"""Every registered query of the search engine against its SQL, over the smallest tables."""
+"""Every registered query of the word search against its SQL, over the smallest tables."""
 
 import math
 

@@ -1,4 +1,4 @@
-"""The search engine: builds an index from a source, checks requests, plans and runs searches."""
+"""Word search: builds an index from a source, checks requests, plans and runs searches."""
 
 from __future__ import annotations
 
