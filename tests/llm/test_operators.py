@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -175,7 +176,17 @@ def test_bpe_pieces():
     some += ["".join(r.choice("the quick brown\n'1é") for _ in range(80)) for _ in range(60)]
     for text in some:
         lines = coder.encode([text])
-        assert " ".join(lines[0]) == " ".join(map(str, encoding.encode_ordinary(text))) and coder.decode(lines) == [text.encode()]
+        assert lines == [" ".join(map(str, encoding.encode_ordinary(text)))] and coder.decode(lines) == [text.encode()]
+        assert list(coder.both([text, text])) == 2 * [(lines[0], text.encode())]
+
+
+def test_bpe_memory():
+    memory = bpe.Memory(6)
+    for k in range(40):
+        here = {0, k, k // 2}
+        for new in memory.missing(here):
+            memory[new] = str(new)
+        assert all(memory[x] == str(x) for x in here) and len(memory) + len(memory.elder) < 13
 
 
 def lm_tokens(text):
@@ -285,3 +296,14 @@ def test_multiset_is_homomorphic(spark):
     pair = spark.createDataFrame([(prints["a"], prints["b"], prints["ab"])], "a array<bigint>, b array<bigint>, ab array<bigint>")
     row = pair.select(multiset.combine(F.col("a"), F.col("b")).alias("sum"), multiset.combine(F.col("ab"), F.col("b"), -1).alias("less")).first()
     assert row["sum"] == prints["ab"] and row["less"] == prints["a"]
+
+
+def test_bpe_lets_its_coder_go(monkeypatch):
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    with bpe.coder_of(PATH, PATTERN) as one:
+        time.sleep(0.4)
+        assert one.encode(["a word"])
+    with bpe.coder_of(PATH, PATTERN) as two:
+        assert two is one
+    time.sleep(0.6)
+    assert not bpe._coders

@@ -4,9 +4,10 @@ A text splits by the tokenizer's pattern; each distinct piece of a partition is
 bytes are token-position rows, adjacent rows join the merge table (ranks by the bytes of both), and each step contracts
 the leftmost pair of least rank in every piece until no pair has a rank. Long pieces take the same steps in a loop
 over tables, where a step contracts equal pairs together as far as the result stays that of single steps, so their
-memory grows with the piece and not with its square. Decoding joins the ids of each distinct run with the vocabulary and
-aggregates the bytes in the order of the positions; a document's bytes are those of its runs. Nothing is shuffled; a process's memory is bounded by its cache
-of pieces (CACHE) and by the size of a slice of texts, and a lost task is simply run again.
+memory grows with the piece and not with its square. Decoding joins the ids with the vocabulary and aggregates the bytes
+in the order of the positions; a document's bytes are those of its pieces. Nothing is shuffled; a process's memory is
+bounded by its cache of pieces (CACHE) and by the size of a slice of texts, it lets both go when no task comes for a
+while, and a lost task is simply run again.
 
 Defined results: null and empty texts give no ids and the digest of nothing; special-token strings are ordinary text;
 repeated rows give repeated results; null ids stay null; extra columns are not read. The vocabulary must hold all 256
@@ -18,7 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -29,12 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
-#: Pieces whose ids a process remembers; beyond that it keeps only those of the texts at hand.
+#: Pieces whose ids a process remembers, and those of the texts at hand.
 CACHE = 400_000
 #: Bytes of a piece up to which the recursive query takes it.
 SHORT = 256
 #: Squared bytes of the pieces in one recursive query; half as many rows are what it holds.
 STEPS = 4_000_000
+#: Pieces in one recursive query: places stay below 2 ** 31.
+MOST = 1 << 20
 #: Stands for no token; ids are below it.
 _NONE = (1 << 20) - 1
 #: Bytes of text encoded at once.
@@ -73,16 +78,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 #: that the merge table makes of both, if any. Each step contracts of each piece the leftmost pair of least rank, and asks
 #: the merge table again for the two pairs that this changes.
 _RECURSE = """
+CREATE OR REPLACE TEMP TABLE coded AS
 WITH RECURSIVE steps AS (
-    SELECT s.place, s.size, s.token, s.next, m.token AS pair, 0 AS step
-    FROM start s LEFT JOIN merges m ON m.pair = (s.token << 20) | s.next
+    SELECT s.place, s.size, s.token, s.next, m.token AS pair, 0::SMALLINT AS step
+    FROM start s LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 20) | s.next
     UNION ALL
     SELECT place, size, token, next, pair, step FROM (
         WITH best AS (
-            SELECT place >> 10 AS piece, min((pair << 20) | ((place & 1023) << 10) | size) AS least
+            SELECT place >> 10 AS piece, min((pair::BIGINT << 20) | ((place & 1023) << 10) | size) AS least
             FROM steps WHERE pair IS NOT NULL GROUP BY place >> 10
         ), joined AS (
-            SELECT s.*, b.least >> 20 AS merged, (s.place & 1023) - ((b.least >> 10) & 1023) AS off, b.least & 1023 AS width
+            SELECT s.*, (b.least >> 20)::INT AS merged, (s.place & 1023) - ((b.least >> 10) & 1023)::INT AS off, (b.least & 1023)::INT AS width
             FROM steps s JOIN best b ON b.piece = s.place >> 10
         ), gone AS (
             SELECT place - off AS place, size, next FROM joined WHERE off = width
@@ -94,14 +100,18 @@ WITH RECURSIVE steps AS (
                    off = 0 OR off + j.size = 0 AS changed, step
             FROM joined j LEFT JOIN gone g ON g.place = j.place WHERE off <> width
         )
-        SELECT v.place, v.size, v.token, v.next, CASE WHEN changed THEN m.token ELSE v.pair END AS pair, step + 1 AS step
-        FROM moved v LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (v.token << 20) | v.next END
+        SELECT v.place, v.size::SMALLINT AS size, v.token, v.next, CASE WHEN changed THEN m.token ELSE v.pair END AS pair, (step + 1)::SMALLINT AS step
+        FROM moved v LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (v.token::BIGINT << 20) | v.next END
     )
 ), final AS (
     SELECT place >> 10 AS piece, max(step) AS step FROM steps GROUP BY piece
 )
-SELECT f.piece, string_agg(token, ' ' ORDER BY place) AS ids
-FROM steps s JOIN final f ON f.piece = s.place >> 10 AND f.step = s.step GROUP BY f.piece
+SELECT f.piece, s.place, s.token FROM steps s JOIN final f ON f.piece = s.place >> 10 AND f.step = s.step
+"""
+#: Of each piece its ids, and what these decode to.
+_BOTH = """
+SELECT piece, string_agg(token, ' ' ORDER BY place) AS ids, unhex(string_agg(v.hex, '' ORDER BY place)) AS bytes
+FROM coded JOIN vocabulary v ON v.rank = token GROUP BY piece
 """
 
 #: A step over the table `long`: of each piece, the pairs of least rank that neither overlap one chosen before them nor
@@ -141,6 +151,7 @@ LEFT JOIN chosen d ON d.piece = p.piece AND d.n + 1 = p.n
 WHERE d.n IS NULL
 """
 
+#: The same for ids that come as text.
 _DECODE = """
 SELECT k, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes
 FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM (
@@ -152,18 +163,39 @@ JOIN vocabulary v ON v.rank = id GROUP BY k
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     """Every pair of tokens whose bytes together are a token: first << 20 | second, and the token."""
     found = [(ranks[t[:k]] << 20 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-    return pa.table({"pair": pa.array([p for p, _ in found], pa.int64()), "token": pa.array([r for _, r in found], pa.int64())})
+    return pa.table({"pair": pa.array([p for p, _ in found], pa.int64()), "token": pa.array([r for _, r in found], pa.int32())})
+
+
+class Memory(dict):
+    """What has been found for about `most` keys, in two generations: once the younger is full it becomes the elder, and
+    what the elder has and nobody asked for meanwhile goes with it."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.elder = most // 2, {}
+
+    def missing(self, here: set) -> list:
+        """Those of the keys at hand that neither generation has; the others are in the younger one from now on."""
+        if len(self) > self.most:
+            self.elder = dict(self)
+            self.clear()
+        new, elder = [], self.elder
+        for key in here.difference(self):
+            if key in elder:
+                self[key] = elder[key]
+            else:
+                new.append(key)
+        return new
 
 
 class Coder:
     """Encodes and decodes; one DuckDB database in memory, in one thread."""
 
     def __init__(self, path: str, pattern: str, cache: int = CACHE):
-        self.split, self.most = Splitter(pattern), cache
-        self.known: dict[str, str] = {}
-        self.meant: dict[str, bytes] = {}
+        self.split = Splitter(pattern)
+        self.known, self.other = Memory(cache), {}
         ranks = load_ranks(path)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", merge_table(ranks))
         self._table("vocabulary", pa.table({"hex": [t.hex() for t in ranks], "rank": pa.array(ranks.values(), pa.int64())}))
@@ -176,34 +208,37 @@ class Coder:
     def close(self) -> None:
         self.db.close()
 
-    def _ids(self, pieces: list[bytes]) -> Iterator[tuple[int, str]]:
-        """(place in pieces, ids joined by a space)"""
+    def _coded(self, pieces: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
+        """(place in pieces, ids joined by a space, the bytes that these stand for)"""
         batch, size = [], 0
-        for k, p in enumerate(pieces):
-            if len(p) <= SHORT:
-                batch.append(k)
-                size += len(p) ** 2
-                if size > STEPS:
-                    yield from self._short(batch, pieces)
-                    batch, size = [], 0
+        # pieces of like length need about as many steps
+        for k in sorted(range(len(pieces)), key=lambda k: len(pieces[k])):
+            p = pieces[k]
+            if len(p) > SHORT:
+                yield k, *self._long(p)
+                continue
+            batch.append(k)
+            size += len(p) ** 2
+            if size > STEPS or len(batch) == MOST:
+                yield from self._short(batch, pieces)
+                batch, size = [], 0
         if batch:
             yield from self._short(batch, pieces)
-        for k, p in enumerate(pieces):
-            if len(p) > SHORT:
-                yield k, self._long(p)
 
-    def _short(self, batch: list[int], pieces: list[bytes]) -> list[tuple[int, str]]:
+    def _short(self, batch: list[int], pieces: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
         flat = np.frombuffer(b"".join([pieces[k] for k in batch]), dtype=np.uint8)
         sizes = np.fromiter((len(pieces[k]) for k in batch), np.int64, len(batch))
         offset = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.repeat(np.arange(len(batch)), sizes) << 10 | offset
+        place = (np.repeat(np.arange(len(batch)), sizes) << 10 | offset).astype(np.int32)
         token = self.single[flat]
         after = np.append(token[1:], _NONE)
         after[np.cumsum(sizes) - 1] = _NONE
-        self._table("start", pa.table({"place": place, "size": np.ones(len(flat), dtype=np.int64), "token": token, "next": after}))
-        return [(batch[k], ids) for k, ids in self.db.execute(_RECURSE).fetchall()]
+        self._table("start", pa.table({"place": place, "size": np.ones(len(flat), dtype=np.int16), "token": token, "next": after}))
+        self.db.execute(_RECURSE)
+        for k, ids, meant in self.db.execute(_BOTH).fetchall():
+            yield batch[k], ids, meant
 
-    def _long(self, piece: bytes) -> str:
+    def _long(self, piece: bytes) -> tuple[str, bytes]:
         self._table("long", pa.table({"piece": np.zeros(len(piece), dtype=np.int64), "pos": np.arange(len(piece)), "hex": [f"{b:02x}" for b in piece]}))
         while True:
             self.db.execute(_PAIRS)
@@ -211,44 +246,72 @@ class Coder:
             if not self.db.execute("SELECT count(*) FROM chosen").fetchall()[0][0]:
                 break
             self.db.execute(_CONTRACT)
-        return self.db.execute("SELECT string_agg(rank, ' ' ORDER BY pos) FROM long JOIN vocabulary USING (hex)").fetchall()[0][0]
+        self.db.execute("CREATE OR REPLACE TEMP TABLE coded AS SELECT piece, pos AS place, rank AS token FROM long JOIN vocabulary USING (hex)")
+        return self.db.execute(_BOTH).fetchall()[0][1:]
 
-    def encode(self, texts: list[str]) -> list[list[str]]:
-        """Of each text, of each piece: the ids, joined by a space."""
+    def both(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Of each text: its ids, joined by a space, and the bytes that these stand for."""
         split = [self.split(t) for t in texts]
-        here = set().union(*split)
-        new = list(here.difference(self.known))
-        if len(self.known) + len(new) > self.most:
-            self.known = {p: self.known[p] for p in here if p in self.known}
-        for k, ids in self._ids([p.encode() for p in new]):
+        new = self.known.missing(set().union(*split))
+        coded = [p.encode() for p in new]
+        for k, ids, meant in self._coded(coded):
             self.known[new[k]] = ids
-        get = self.known.__getitem__
-        return [list(map(get, pieces)) for pieces in split]
-
-    def decode(self, lines: list[list[str]]) -> list[bytes]:
-        """Of each text: the bytes that its runs of ids (joined by a space) stand for."""
-        here = set().union(*lines)
-        new = list(here.difference(self.meant))
-        if len(self.meant) + len(new) > self.most:
-            self.meant = {x: self.meant[x] for x in here if x in self.meant}
-        if new:
-            self.db.register("lines_", pa.table({"k": pa.array(range(len(new)), pa.int64()), "line": pa.array(new, pa.string())}))
-            for k, b in self.db.execute(_DECODE).fetchall():
-                self.meant[new[k]] = b
-            self.db.unregister("lines_")
-        get = self.meant.__getitem__
-        return [b"".join(map(get, line)) for line in lines]
+            if meant != coded[k]:  # what decodes to the piece itself isn't held twice
+                self.other[new[k]] = meant
+        get, other = self.known.__getitem__, self.other
+        for pieces in split:
+            meant = b"".join([other.get(p) or p.encode() for p in pieces]) if other else "".join(pieces).encode()
+            yield " ".join(map(get, pieces)), meant
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """Of each text: its ids, joined by a space."""
+        return [ids for ids, _ in self.both(texts)]
+
+    def decode(self, lines: list[str]) -> list[bytes]:
+        """Of each run of ids (joined by a space): the bytes that it stands for."""
+        rows = [(k, line) for k, line in enumerate(lines) if line]
+        self.db.register("lines_", pa.table({"k": pa.array([k for k, _ in rows], pa.int64()), "line": pa.array([x for _, x in rows], pa.string())}))
+        found = dict(self.db.execute(_DECODE).fetchall())
+        self.db.unregister("lines_")
+        return [found.get(k, b"") for k in range(len(lines))]
+
+
+#: Seconds without a task after which a process lets its coder go.
+IDLE = 2.0
+_coders: dict[tuple[str, str], Coder] = {}
+_lock = threading.Lock()
+_users = 0
 
 
-_coders: dict[tuple[str, str], Coder] = {}
+def _let_go(seen: Coder) -> None:
+    with _lock:
+        if not _users and seen in _coders.values():
+            _coders.clear()
+            seen.close()
+
+
+@contextmanager
+def coder_of(path: str, pattern: str) -> Iterator[Coder]:
+    """This process's coder: tasks that run here one soon after another share its tables and the pieces that it knows."""
+    global _users
+    with _lock:
+        if (path, pattern) not in _coders:
+            _coders.clear()
+            _coders[path, pattern] = Coder(path, pattern)
+        coder, _users = _coders[path, pattern], _users + 1
+        if timer := _timers.pop(path, None):
+            timer.cancel()
+    try:
+        yield coder
+    finally:
+        with _lock:
+            _users -= 1
+            _timers[path] = timer = threading.Timer(IDLE, _let_go, (coder,))
+            timer.daemon = True
+            timer.start()
 
 
-def coder_of(path: str, pattern: str) -> Coder:
-    """This process's coder: tasks that run here one after another share its tables and the pieces that it knows."""
-    if (path, pattern) not in _coders:
-        _coders.clear()
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+_timers: dict[str, threading.Timer] = {}
 
 
 def _sha(b: bytes) -> str:
@@ -260,16 +323,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(path, pattern)
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE):
-                coded = coder.encode([t.as_py().decode() for t in utf8(batch.column("text"))])
-                decoded = pa.array([_sha(b) for b in coder.decode(coded)], pa.string())
-                lines = [" ".join(runs) for runs in coded]
-                counts = pa.array([line.count(" ") + 1 if line else 0 for line in lines], pa.int64())
-                out = [batch.column("doc_id"), counts, pa.array([_sha(line.encode()) for line in lines], pa.string()), decoded]
-                if with_ids:
-                    out.append(pa.array([list(map(int, line.split())) for line in lines], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+        with coder_of(path, pattern) as coder:
+            for whole in batches:
+                for batch in slices(whole, "text", SLICE):
+                    lines, decoded = [], []
+                    for line, meant in coder.both([t.as_py().decode() for t in utf8(batch.column("text"))]):
+                        lines.append(line)
+                        decoded.append(_sha(meant))
+                    counts = pa.array([line.count(" ") + 1 if line else 0 for line in lines], pa.int64())
+                    out = [batch.column("doc_id"), counts, pa.array([_sha(line.encode()) for line in lines], pa.string()), pa.array(decoded, pa.string())]
+                    if with_ids:
+                        out.append(pa.array([list(map(int, line.split())) for line in lines], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
