@@ -307,3 +307,29 @@ def test_bpe_lets_its_coder_go(monkeypatch):
         assert two is one
     time.sleep(0.6)
     assert not bpe._coders
+
+
+def test_simhash_blocks():
+    r = np.random.default_rng(6)
+    fps = r.integers(0, 2**63, 3000, dtype=np.uint64)
+    fps = np.unique(np.concatenate((fps, fps[:300] ^ (np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)))))
+    keys = (fps >> np.uint64(50)).astype(np.int64) % 40
+    found = {frozenset((x, y)) for p, q in simhash.dealt_pairs(keys, fps, 3) for x, y in zip(p.tolist(), q.tolist(), strict=True)}
+    few = {frozenset((x, y)) for p, q in simhash.dealt_pairs(keys * 1000 + np.arange(len(keys)) % 7, fps, 40) for x, y in zip(p.tolist(), q.tolist(), strict=True)}
+    by = {}
+    for k, f in zip(keys.tolist(), fps.tolist(), strict=True):
+        by.setdefault(k, []).append(f)
+    assert found == {frozenset((x, y)) for own in by.values() for i, x in enumerate(own) for y in own[:i] if (x ^ y).bit_count() <= 3} and found
+    by = {}
+    for i, (k, f) in enumerate(zip(keys.tolist(), fps.tolist(), strict=True)):
+        by.setdefault((k, i % 7), []).append(f)
+    assert few == {frozenset((x, y)) for own in by.values() for i, x in enumerate(own) for y in own[:i] if (x ^ y).bit_count() <= 40}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 5])
+def test_simhash_radius(spark, radius):
+    r = random.Random(radius)
+    fps = sorted({b ^ sum(1 << x for x in r.sample(range(63), r.randint(0, 6))) for b in [r.getrandbits(63) for _ in range(15)] for _ in range(20)})
+    label = {x.node: x.label for x in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint"), radius)).collect()}
+    pairs = {(label.get(f, f), g) for f, g in zip(fps, brute.groups(fps, radius), strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({g for _, g in pairs})

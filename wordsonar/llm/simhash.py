@@ -1,11 +1,13 @@
 """SimHash near-duplicates: fingerprints of word shingles, and an exact tiled search for those within a radius.
 
-Distinct fingerprints are dealt into tiles by their population count (bits set), a large class into several tiles.
-Two fingerprints within `radius` bits have population counts within `radius`, so only pairs of such tiles meet; each
-pair is one group of bounded size. There the fingerprints are laid out by the counts of their single bytes and cut into
-small tiles; a pair of small tiles is skipped if the ranges of these counts are further apart than the radius, else
-compared by exclusive-or and bit counts in numpy. A pair of tiles returns a spanning forest of its links, not all links:
-a group of m near-copies gives at most m - 1 rows per pair of tiles and no link between components is lost.
+Of two fingerprints within `radius` bits, cut into radius + 1 blocks of bits, one block is equal. So distinct fingerprints
+are dealt by the value of each of their blocks, and only those with an equal block meet; many such keys share a cell of
+bounded size. A key with more fingerprints than a tile holds is dealt further, into tiles by population count (bits set),
+a large class into several: two fingerprints within the radius have counts within the radius, so only pairs of such tiles
+meet, each pair in a cell of its own. In a cell, fingerprints of a key are laid out by the counts of their single bytes
+and cut into small tiles; a pair of small tiles is skipped if the ranges of these counts are further apart than the
+radius, else compared by exclusive-or and bit counts in numpy. A cell returns a spanning forest of its links, not all
+links: a group of m near-copies gives at most m - 1 rows per cell and no link between components is lost.
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero and are linked like any others;
 repeated rows give repeated result rows; a null id keeps its row, and takes the least id of its component (null if the
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import Table, slices, utf8
 from .components import components
 
-#: Fingerprints in a tile, and in a small tile within a pair of tiles.
+#: Fingerprints in a tile, and in a small tile within it.
 TILE, SMALL = 131072, 512
+#: Fingerprints of a key up to which they are compared together with those of other keys.
+FEW = 48
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -117,29 +121,49 @@ def forest(nodes: np.ndarray, portions: Iterator[tuple[np.ndarray, np.ndarray]])
     return nodes[moved], nodes[root[moved]]
 
 
+def dealt_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of fingerprints with the same key within the radius, in portions."""
+    order = np.lexsort((fps, keys))
+    keys, fps = keys[order], fps[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    few = sizes <= FEW
+    # short runs of a key together: each place with the next, the next but one and so on
+    at, left = np.arange(len(keys)), np.repeat(starts + sizes, sizes) - 1 - np.arange(len(keys))
+    at, left = at[np.repeat(few, sizes)], left[np.repeat(few, sizes)]
+    for step in range(1, FEW):
+        at, left = at[left >= step], left[left >= step]
+        if not len(at):
+            break
+        p, q = fps[at], fps[at + step]
+        near = np.bitwise_count(p ^ q) <= radius
+        if near.any():
+            yield p[near], q[near]
+    for a, n in zip(starts[~few], sizes[~few], strict=True):
+        yield from linked_pairs(fps[a : a + n], None, radius)
+
+
 def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that join the same ones as all links within the radius."""
-    spark = fps.sparkSession
-    ones = fps.select("fp", F.bit_count("fp").cast("int").alias("ones"))
-    sizes = {r[0]: r[1] for r in ones.groupBy("ones").count().collect()}  # 65 rows at most
-    cut = {c: -(-n // tile) for c, n in sizes.items()}
-    # of a tile: its count class and a part of the class; a pair of tiles is named by both
-    pairs = {c: [] for c in sizes}
-    for c in sorted(sizes):
-        for d in sorted(sizes):
-            if abs(c - d) <= radius:
-                pairs[c].append((d, cut[d]))
-    near = spark.createDataFrame([(c, cut[c], d, k) for c in pairs for d, k in pairs[c]], "ones int, parts int, other int, other_parts int")
-    mine = ones.join(F.broadcast(near), "ones").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    cells = mine.select("fp", "ones", "part", "other", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("other_part"))
-    a, b = F.struct("ones", "part"), F.struct(F.col("other").alias("ones"), F.col("other_part").alias("part"))
-    cells = cells.select("fp", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a > b).alias("second"))
-    cells = cells.select("fp", F.concat_ws(".", "a.ones", "a.part", "b.ones", "b.part").alias("cell"), (F.col("a") == F.col("b")).alias("same"), "second")
+    blocks = max(2, radius + 1)
+    width = -(-64 // blocks)
+    part = lambda b: F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1)) + (b << width)
+    ones = F.bit_count("fp").cast("int").alias("ones")
+    rows = fps.select("fp", ones, F.explode(F.array(*map(part, range(blocks)))).alias("key"))
+    # blocks << width keys at most, whatever the number of fingerprints
+    sizes = Table(rows.groupBy("key").agg(F.count("*").alias("n")), "sizes").df
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    hot = sizes.where(F.col("n") > tile).select("key") if (most or 0) > tile else None
+    light = rows if hot is None else rows.join(hot, "key", "left_anti")
+    cell = F.concat(F.lit("x"), F.pmod(F.xxhash64("key"), F.lit(-(-total // tile) or 1)).cast("string"))
+    cells = light.select("fp", "key", cell.alias("cell"), F.lit(True).alias("same"), F.lit(False).alias("second"))
+    if hot is not None:
+        cells = cells.union(_tiles(rows.join(hot, "key"), radius, tile))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = pdf["fp"].to_numpy().view(np.uint64)
         if pdf["same"].iloc[0]:
-            found = linked_pairs(fps, None, radius)
+            found = dealt_pairs(pdf["key"].to_numpy(), fps, radius)
         else:
             second = pdf["second"].to_numpy()
             if second.all() or not second.any():
@@ -151,6 +175,19 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return cells.groupBy("cell").applyInPandas(compare, "u bigint, v bigint")
 
 
+def _tiles(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Of keys with very many fingerprints: each class of a population count in tiles, and a cell for each pair of tiles
+    whose counts are within the radius; a fingerprint goes to the cells of its tile."""
+    classes = rows.groupBy("key", "ones").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    other = classes.select("key", F.col("ones").alias("other"), F.col("parts").alias("other_parts"))
+    near = classes.join(other, "key").where(F.abs(F.col("ones") - F.col("other")) <= radius)  # 65 classes of a key at most
+    mine = rows.join(near, ["key", "ones"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    cells = mine.select("fp", "key", "ones", "part", "other", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("other_part"))
+    a, b = F.struct("ones", "part"), F.struct(F.col("other").alias("ones"), F.col("other_part").alias("part"))
+    cells = cells.select("fp", "key", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a > b).alias("second"))
+    return cells.select("fp", "key", F.concat_ws(".", "key", "a.ones", "a.part", "b.ones", "b.part").alias("cell"), (F.col("a") == F.col("b")).alias("same"), "second")
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that links of at most `radius` bits reach."""
     prints = Table(fingerprints(docs, id_col, text_col, shingle), "prints").df
