@@ -38,6 +38,21 @@ def test_toxicity_edges(spark, edge, none):
         assert toxicity.score(edge, model).where("score between 0 and 1").count() == len(EDGE) and toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_frequent_id(spark):
+    docs = spark.createDataFrame([(k if k < 60 else 7, f"you fool {k}" if k % 2 else f"a fine day {k}") for k in range(400)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(k if k < 60 else 7, k % 2) for k in range(400)], "doc_id bigint, toxic int")
+    seen = []
+    whole = toxicity._features
+    toxicity._features = lambda rows, lexicon: seen.append(rows.count()) or whole(rows, lexicon)
+    try:
+        model = toxicity.learn(docs, marks)
+    finally:
+        toxicity._features = whole
+    assert seen == [61]  # 60 ids, of which one has both labels
+    scores = {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id < 60 and doc_id <> 7"), model).collect()}
+    assert min(scores[k] for k in range(1, 60, 2) if k != 7) > max(scores[k] for k in range(0, 60, 2))
+
+
 def test_toxicity_features():
     names = toxicity.NAMES
     f = lambda t: dict(zip(names, toxicity.Lexicon({"grue": 2.0}).features(t), strict=True))

@@ -9,7 +9,8 @@ The model is fitted on about FIT_ROWS labelled rows at most, chosen by a hash of
 Spark, only features (some numbers per row) come to the driver. Scoring reads every whole text once, where it is.
 
 Defined results: a null text is an empty one and gets the score of its features (all zero); labels other than 0 and 1
-and rows with a null label or id teach nothing; several labels of an id teach one example each; without any labelled
+and rows with a null label or id teach nothing; equal labels of an id teach one example, different ones one each, and of
+several texts under one id the least in order is theirs, so a frequent id can't outgrow the bound; without any labelled
 row, or with one class only, every score is the share of ones (0 without rows); extra columns are not read.
 """
 
@@ -195,13 +196,14 @@ def _features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", fit_rows: int = FIT_ROWS) -> Model:
     """A model of the labels of docs' texts; docs are the rows that may be learned from."""
     marks = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
-    marks = marks.join(docs.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null"), "id", "left_semi")
+    marks = marks.distinct().join(docs.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct(), "id", "left_semi")
     n = marks.count()
     part = min(1.0, fit_rows / max(n, 1))
     marks = marks.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(part * 1_000_000))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # about fit_rows pairs of numbers at most: small enough to send
-    rows = texts.join(F.broadcast(marks), "id").select(F.xxhash64("id", F.lit(11)).alias("h"), "y", "text")
+    rows = texts.join(F.broadcast(marks), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = rows.select(F.xxhash64("id", F.lit(11)).alias("h"), "y", "text")
     words = rows.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}'@$!*]+"))).alias("word")).where("length(word) between 2 and 40")
     counts = words.groupBy("word").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     total, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
