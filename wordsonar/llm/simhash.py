@@ -204,5 +204,6 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **options) ->
     id stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    # rows of a frequent id are one before the shuffle
+    named = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(keep, id_col, "left_semi")
     return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
