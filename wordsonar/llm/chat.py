@@ -134,13 +134,15 @@ class _Fold:
         self.conv, self.turns, self.loss, self.size = conv, 0, 0, 0
         self.all, self.masked = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, line: str) -> None:
+    def add(self, line: str, start: int | None, end: int | None) -> None:
+        """start and end: what the loss mask covers, if anything."""
         for role, text, _ in parse_all(line):
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss += len(text)
-                self.masked.update(text.encode())
+        if start is not None:
+            text = unescape(line[start:end])
+            self.loss += len(text)
+            self.masked.update(text.encode())
         self.size += len(line)
 
     def row(self) -> tuple:
@@ -156,12 +158,13 @@ def report(lines: DataFrame) -> DataFrame:
         rows, fold = [], None
         give = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
-            for conv, line in zip(batch.column("conv_id").to_pylist(), batch.column("formatted"), strict=True):
+            masks = (batch.column(c).to_pylist() for c in ("loss_start", "loss_end"))
+            for conv, line, a, b in zip(batch.column("conv_id").to_pylist(), batch.column("formatted"), *masks, strict=True):
                 if fold is None or fold.conv != conv:
                     if fold:
                         rows.append(fold.row())
                     fold = _Fold(conv)
-                fold.add(line.as_py())
+                fold.add(line.as_py(), a, b)
             if len(rows) > 1000:
                 yield give()
                 rows = []
@@ -170,5 +173,6 @@ def report(lines: DataFrame) -> DataFrame:
         if rows:
             yield give()
 
-    dealt = lines.select("conv_id", "turn", "role", "text", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "formatted").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    shown = ["conv_id", "formatted", "loss_start", "loss_end"]
+    dealt = lines.select(*shown, "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select(*shown).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
