@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, Table, mix, signed, slices, utf8, word_hashes
+from .common import Runs, Table, fresh, mix, signed, slices, utf8, word_hashes
 
 GRAM = 8
 _PLACE = np.uint64((1 << 24) - 1)
@@ -146,24 +146,33 @@ def _windows(packed: DataFrame, window: int) -> DataFrame:
 
 
 def duplicate_blocks(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 35) -> DataFrame:
-    """(key, spans): for each document with recurring windows its blocks as an array of (first, count, mask); bit k of the
-    mask is set if the block's k-th window occurs elsewhere."""
-    held = _held(docs, id_col, text_col)
-    blocks = Table(_anchors(held, window), "anchors").df
-    again = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("whole"))
+    """(key, spans), in a table: for each document with recurring windows its blocks as an array of (first, count, mask);
+    bit k of the mask is set if the block's k-th window occurs elsewhere."""
+    rows = _held(docs, id_col, text_col)
+    blocks = Table(_anchors(rows, window), "anchors")
+    again = blocks.df.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("whole"))
     # a table of its own, so that a frequent anchor's blocks can be split in the join
-    again = Table(blocks.join(Table(again, "again").df, "anchor"), "blocks").df
-    contents = again.groupBy("anchor", "content", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
-    contents = Table(contents, "contents").df
+    anchors = Table(again, "again")
+    again = Table(blocks.df.join(anchors.df, "anchor"), "blocks")
+    blocks.drop()
+    anchors.drop()
+    contents = again.df.groupBy("anchor", "content", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
+    kinds = Table(contents, "contents")
+    contents = kinds.df
     # where blocks of an anchor differ, factors end: one of each kind shows its windows
     one = F.struct("anchor", "content", "one.first", "one.count")
     ends = contents.where("not whole").groupBy("one.key").agg(F.collect_list(one).alias("blocks"))
-    windows = Table(_windows(_pack(held, "key").join(ends, "key").select("blocks", "packed"), window).distinct(), "windows").df
+    shown = Table(_windows(_pack(rows, "key").join(ends, "key").select("blocks", "packed"), window).distinct(), "windows")
+    windows = shown.df
     seen = windows.groupBy("anchor", "hash").agg(F.count("*").alias("kinds")).where("kinds > 1")
     partial = windows.join(seen, ["anchor", "hash"]).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, start)")).alias("mask"))
     whole = contents.where("n > 1").select("anchor", "content", F.lit(-1).cast("bigint").alias("mask"))
     masks = whole.union(partial.join(contents.where("n = 1"), ["anchor", "content"]).select("anchor", "content", "mask"))
-    return again.join(masks, ["anchor", "content"]).groupBy("key").agg(F.collect_set(F.struct("first", "count", "mask")).alias("spans"))
+    spans = again.df.join(masks, ["anchor", "content"]).groupBy("key").agg(F.collect_set(F.struct("first", "count", "mask")).alias("spans"))
+    found = Table(spans, "spans").df
+    for table in (again, kinds, shown):
+        table.drop()
+    return found
 
 
 def removed_words(n: int, spans: list[dict], window: int) -> np.ndarray:
@@ -177,7 +186,7 @@ def removed_words(n: int, spans: list[dict], window: int) -> np.ndarray:
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, window: int, *columns: str) -> DataFrame:
-    spans = Table(duplicate_blocks(docs, id_col, text_col, window), "spans").df
+    spans = duplicate_blocks(docs, id_col, text_col, window)
     return _pack(_held(docs, id_col, text_col), *columns).join(spans, "key", "left")
 
 
@@ -210,18 +219,17 @@ def report(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 35)
 def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 35) -> DataFrame:
     """docs with the repeated words cut from their texts; a text that loses none stays as it is, else the kept words are
     joined by one space. Null texts stay null."""
-    held = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
-    spans = Table(duplicate_blocks(docs, id_col, text_col, window), "spans").df.withColumnRenamed("key", "_key")
-
     columns = docs.columns
+    key, spans = fresh("_key", columns), fresh("_spans", columns)
+    rows = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
+    found = duplicate_blocks(docs, id_col, text_col, window).select(F.col("key").alias(key), F.col("spans").alias(spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(text_col), batch.column("_spans"), strict=True):
-                text, spans = text.as_py(), spans.as_py()
-                texts.append(b" ".join(_kept(text.encode(), spans, window)[1]).decode() if spans else text)
+            for text, its in zip(batch.column(text_col), batch.column(spans), strict=True):
+                text, its = text.as_py(), its.as_py()
+                texts.append(b" ".join(_kept(text.encode(), its, window)[1]).decode() if its else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in columns], names=columns)
 
-    joined = held.join(spans.withColumnRenamed("spans", "_spans"), "_key", "left")
-    return joined.select(*columns, "_spans").mapInArrow(run, docs.schema)
+    return rows.join(found, key, "left").select(*columns, spans).mapInArrow(run, docs.schema)
