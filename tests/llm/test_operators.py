@@ -147,6 +147,7 @@ def test_decontaminate(spark, texts, edge, none):
 
 def test_decontaminate_in_shards(spark, texts, docs, monkeypatch):
     monkeypatch.setattr(wumanber, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(wumanber, "ROUNDS", 2)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert rows(wumanber.report(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")), *DECONTAMINATED) == report_of(brute.decontaminated(texts, items))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, held, utf8
+from .common import Table, extended, held, utf8
 
 #: Upper-case ASCII goes to lower case, what is not part of a word to a space; bytes from 0x80 on belong to words.
 _TABLE = bytes(
@@ -28,8 +28,11 @@ _TABLE = bytes(
     for b in range(256)
 )
 
-#: Bytes of benchmark text in one set of tables; more items are searched in further rounds over the documents.
-SHARD_BYTES = 16 << 20
+#: Bytes of benchmark text in one set of tables (which take some hundred times as many); more items are searched in further
+#: rounds over the documents.
+SHARD_BYTES = 2 << 20
+#: Rounds within one task, each with a worker and tables of its own; then the documents are written and read again.
+ROUNDS = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -72,16 +75,14 @@ class Tables:
 
 def build(items: list[tuple[int, bytes]], window: int = 13) -> list[Tables]:
     """Tables by length class: full windows, then shorter items by powers of two, lest one short item slow all."""
-    classes: dict[int, dict[tuple, list[int]]] = {}
+    classes: dict[int, dict[tuple, dict[int, None]]] = {}
     for item, text in items:
         words = words_of(text)
         n = min(window, len(words))
         for i in range(len(words) - n + 1 if n else 0):
             p = tuple(words[i : i + n])
-            at = classes.setdefault(window if n == window else n.bit_length() - 100, {}).setdefault(p, [])
-            if item not in at:
-                at.append(item)
-    return [Tables(p) for p in classes.values()]
+            classes.setdefault(window if n == window else n.bit_length() - 100, {}).setdefault(p, {})[item] = None
+    return [Tables({p: list(found) for p, found in own.items()}) for own in classes.values()]
 
 
 _STATE = ["_spans", "_items"]
@@ -125,7 +126,7 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id="item_id", item_text="te
     occur), or what `finish` makes of them.
 
     The benchmark goes to the executors in shards of about SHARD_BYTES of text, so what is broadcast has a bound
-    whatever the table's size; each further shard is one more round within the same tasks.
+    whatever the table's size; each further shard is one more round, ROUNDS of them within the same tasks.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
@@ -135,6 +136,8 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id="item_id", item_text="te
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
         shared = spark.sparkContext.broadcast(build(sorted((r[0], r[1].encode()) for r in part.toLocalIterator()), window))
         docs = _round(docs, shared, k == 0, *((finish, schema) if k == shards - 1 else ()))
+        if k % ROUNDS == ROUNDS - 1 and k < shards - 1:
+            docs = Table(docs, "rounds").df
     return docs
 
 
