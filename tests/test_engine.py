@@ -202,6 +202,21 @@ def test_save_and_load(spark, tmp_path):
     assert Search(spark).use(index.Index.load(spark, str(tmp_path), phonetic=True)).find_buckets("Иванов") == {0: [1]}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, tmp_path):
+    """A saved index is asked for word beginnings by pushed filters; combination is one aggregation by id."""
+    built(spark, GREEK).index.save(str(tmp_path))
+    engine = Search(spark).use(index.Index.load(spark, str(tmp_path)))
+    plan = plan_of(engine.find("альфа бета", SearchRequest(ANY)))
+    assert "StringStartsWith(term,АЛЬФА)" in plan and "StringStartsWith(term,БЕТА)" in plan
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Python" not in plan and "Pandas" not in plan
+    near = plan_of(engine.find("альфа", SearchRequest(search_type=NEAR, misprints=2)))
+    assert near.count("MapInPandas") >= 1 and "CartesianProduct" not in near and "NestedLoop" not in near
+
+
 def test_deletions(spark):
     found = index.deletions(spark.createDataFrame([("ABA",), ("A",)], "term string")).collect()
     assert sorted(tuple(r) for r in found) == [("", "A"), ("A", "A"), ("AA", "ABA"), ("AB", "ABA"), ("ABA", "ABA"), ("BA", "ABA")]
