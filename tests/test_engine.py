@@ -152,6 +152,19 @@ def test_ids(spark, kind, good, bad):
         assert [int(r.id) for r in rows[: len(good)]] == [int(x) for x in good]
 
 
+def test_spread(spark, tmp_path, monkeypatch):
+    rows = spark.range(1000).selectExpr("id", "uuid() AS text").coalesce(1)
+    rows.write.parquet(str(tmp_path / "one"))
+    rows.repartition(3).write.parquet(str(tmp_path / "three"))
+    one, three = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "three"))
+    assert records.spread(one) is one  # too small to be worth it
+    monkeypatch.setattr(records, "SMALL_FILE", (1, 1 << 30))
+    assert records.spread(one).select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism and records.spread(three) is three
+    assert records.spread(one).exceptAll(one).isEmpty() and records.spread(one).count() == 1000
+    monkeypatch.setattr(records, "SMALL_FILE", (1, 10))
+    assert records.spread(one) is one
+
+
 def test_word_list(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# note\nbeta\n\n Alpha \nalpha\n")
     (tmp_path / "b.txt").write_text("BETA\ngamma\n")

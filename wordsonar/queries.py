@@ -61,7 +61,8 @@ BATCH = {"a": "red widget", "b": "small bolt gear", "c": "ring"}
 
 def table(spark: SparkSession, sf_dir: str, source: tuple[str, str, str]) -> DataFrame:
     name, key, text = source
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, text)
+    return records.spread(rows).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
 
 
 def names(spark: SparkSession) -> DataFrame:

@@ -26,6 +26,20 @@ _BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 _ENDS = f"^{_BLANK}|{_BLANK}$"
 
 
+#: Bytes of a file whose rows are spread over the cores, at least and at most.
+SMALL_FILE = (1 << 20, 64 << 20)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of one small file over all cores: a file of one row group is else one task, whatever is done with it. Larger
+    inputs, and those of several files, stay as they are."""
+    least, most = SMALL_FILE
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if least <= size <= most and len(df.inputFiles()) == 1:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, _ENDS, "")
 
