@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.records import spread
 from . import bpe, brown, chat, langid, multiset, rlz, simhash, toxicity, warc, wumanber
 from .oracle import oracle_sql
 
@@ -15,7 +16,7 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _held_out(modulus: int, remainder: int):
