@@ -200,8 +200,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", radius: i
 
 
 def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """The documents without those whose component has a smaller id. Of rows with the same id one stays; rows without an
-    id stay."""
+    """The documents without those whose component has a smaller id. Of rows with the same id one stays,
+    whatever their texts, so ids must be unique where no text may be lost (near.without_copies judges each text for itself);
+    rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     # rows of a frequent id are one before the shuffle
