@@ -56,6 +56,8 @@ NEAR = {
 }
 #: Sound searches over NAMES: query, mode.
 SOUND = {"phonetic_find": ("Иванов Петров", ANY), "phonetic_prefix": ("Папандо", ANY), "phonetic_close": ("Тирентев", ALL), "phonetic_soft": ("Анна Иванова", SOFT)}
+#: The same over the words of the table documents.
+SOUND_TABLE = {"phonetic_find_documents": ("schein mention", ANY), "phonetic_prefix_documents": ("schtschei", ANY), "phonetic_close_documents": ("chemin", ALL), "phonetic_soft_documents": ("schein mention chemin", SOFT)}
 BATCH = {"a": "red widget", "b": "small bolt gear", "c": "ring"}
 
 
@@ -89,6 +91,10 @@ def _sound(query, mode):
     return lambda spark, sf_dir: Search(spark, phonetic=True).prepare_index(names(spark)).find(query, SearchRequest(mode))
 
 
+def _sound_table(query, mode):
+    return lambda spark, sf_dir: Search(spark, phonetic=True).prepare_index(table(spark, sf_dir, DOCS)).find(query, SearchRequest(mode))
+
+
 def index_postings(spark, sf_dir):
     return index.postings(table(spark, sf_dir, DOCS))
 
@@ -172,6 +178,54 @@ def largest_buckets(spark, sf_dir):
     return found.select("key", "n", F.array_join("names", ",").alias("names"))
 
 
+# Sound operators over whole tables; SQL has no encoder for them, tests hold them against the plain functions.
+
+
+def _words(spark, sf_dir):
+    return index.vocabulary(index.postings(table(spark, sf_dir, DOCS))).select(F.col("term").alias("name"))
+
+
+def phonetic_keys_names(spark, sf_dir):
+    """All names, those with a space too."""
+    return names(spark).select("id", phonetic.language(F.col("text")).alias("language"), phonetic.first_key(F.col("text"), False).alias("strict"), phonetic.first_key(F.col("text")).alias("approx"))
+
+
+def phonetic_keys_documents(spark, sf_dir):
+    name = F.col("name")
+    return _words(spark, sf_dir).select(
+        F.col("name").alias("term"), phonetic.language(name).alias("language"), phonetic.transliterated(name).alias("cyrillic"),
+        phonetic.first_key(name, False).alias("strict"), phonetic.first_key(name).alias("approx"),
+    )
+
+
+def phonetic_index_documents(spark, sf_dir):
+    return index.phonetic_postings(index.postings(table(spark, sf_dir, DOCS)))
+
+
+def key_distribution_documents(spark, sf_dir):
+    return diagnostics.key_distribution(_words(spark, sf_dir), phonetic.keys(F.col("name")))
+
+
+def largest_buckets_documents(spark, sf_dir):
+    """A report of the top 15, as the operator has it."""
+    found = diagnostics.largest_buckets(diagnostics.key_buckets(_words(spark, sf_dir), phonetic.keys(F.col("name"))))
+    return found.select("key", "n", F.array_join("names", ",").alias("names"))
+
+
+def _part_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, PARTS).select(F.concat_ws(";", F.col("id").cast("string"), "text").alias("line"))
+    return records.numbered(rows)
+
+
+def delimited_parse_part(spark, sf_dir):
+    parsed = records.parse_lines(_part_lines(spark, sf_dir), ";", "long")
+    return parsed.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("id", "text", "problem")])
+
+
+def delimited_lenient_part(spark, sf_dir):
+    return records.from_lines(_part_lines(spark, sf_dir), ";", "long", lenient=True)
+
+
 def _of(spark, sf_dir, *terms):
     posts = index.postings(table(spark, sf_dir, PARTS))
     return [posts.where(F.col("term") == t).select("id") for t in terms]
@@ -214,8 +268,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         index_postings, index_term_stats, index_lists, custom_delimiters, number_search, no_number_search, delimited_source, delimited_parse, delimited_lenient, keyboard_distance,
         phonetic_keys, phonetic_index, phonetic_latin, metaphone, deletion_index, key_distribution, largest_buckets,
         set_union, set_intersect, set_missing, set_arrays, bucketised, find_batch,
+        phonetic_keys_names, phonetic_keys_documents, phonetic_index_documents, key_distribution_documents, largest_buckets_documents, delimited_parse_part, delimited_lenient_part,
     )
     found = {name: _exact(*x) for name, x in EXACT.items()}
     found |= {name: _near(*x) for name, x in NEAR.items()}
     found |= {name: _sound(*x) for name, x in SOUND.items()}
+    found |= {name: _sound_table(*x) for name, x in SOUND_TABLE.items()}
     return found | {f.__name__: f for f in plain}
