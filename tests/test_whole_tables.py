@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from wordsonar import queries
-from wordsonar.functions import phonetic
+from wordsonar.functions import keyboard, phonetic
 from wordsonar.operators import index
 
 
@@ -19,6 +19,23 @@ def terms(spark, source):
     return found
 
 
+def plain(query, target):
+    m, n, key = len(query), len(target), keyboard.KEY_OF
+    d = [[2 * (i + j) for j in range(n + 1)] for i in range(m + 1)]
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
+            step, a, b = (1 if i == m else 2), query[i - 1], target[j - 1]
+            d[i][j] = min(d[i - 1][j] + step, d[i][j - 1] + step, d[i - 1][j - 1] + keyboard.cost(a, b))
+            if i > 1 and j > 1 and a in key and query[i - 2] in key and key.get(target[j - 2]) == key[a] and key.get(b) == key[query[i - 2]]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 2)
+    return d[m][n]
+
+
+def test_keyboard_distance_of_every_length(spark):
+    found = {r.term: r.d for r in queries.queries()["keyboard_distance_all"](spark, SMALL).collect()}
+    assert found == {t: plain("WIDGTE", t) for t in terms(spark, queries.PARTS)} and len({len(t) for t in found}) > 1
+
+
 def test_sound_of_documents(spark):
     run = lambda name: queries.queries()[name](spark, SMALL).collect()
     words = terms(spark, queries.DOCS)

@@ -142,6 +142,12 @@ def keyboard_distance(spark, sf_dir):
     return terms.select("term", distance.keyboard_distance("WIDGTE", F.col("term")).alias("d"))
 
 
+def keyboard_distance_all(spark, sf_dir):
+    """To every distinct word of the whole table, of any length."""
+    terms = index.vocabulary(index.postings(table(spark, sf_dir, PARTS)))
+    return terms.select("term", distance.keyboard_distance("WIDGTE", F.col("term")).alias("d"))
+
+
 def phonetic_keys(spark, sf_dir):
     key = lambda approx: phonetic.first_key(F.col("text"), approx)
     return names(spark).where("id not in (14, 17)").select("id", phonetic.language(F.col("text")).alias("language"), key(False).alias("strict"), key(True).alias("approx"))
@@ -269,6 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         phonetic_keys, phonetic_index, phonetic_latin, metaphone, deletion_index, key_distribution, largest_buckets,
         set_union, set_intersect, set_missing, set_arrays, bucketised, find_batch,
         phonetic_keys_names, phonetic_keys_documents, phonetic_index_documents, key_distribution_documents, largest_buckets_documents, delimited_parse_part, delimited_lenient_part,
+        keyboard_distance_all,
     )
     found = {name: _exact(*x) for name, x in EXACT.items()}
     found |= {name: _near(*x) for name, x in NEAR.items()}
