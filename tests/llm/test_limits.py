@@ -1,0 +1,10 @@
+"""Limits and options that the operators state."""
+
+import pytest
+
+from wordsonar.llm import rlz
+
+
+def test_long_windows_are_refused(edge):
+    with pytest.raises(ValueError):
+        rlz.duplicate_blocks(edge, window=72)

@@ -1,6 +1,7 @@
 """Substring dedup by relative Lempel-Ziv parsing over reference blocks.
 
-Every document is parsed against the index of all reference blocks. A block is the text around an anchor: of the
+Blocks between hash anchors stand in for the greedy parse: no reference position or factor length is kept, as the spans
+need only the windows that recur. Every document is parsed against the index of all reference blocks. A block is the text around an anchor: of the
 `gram`-word runs inside a window the one with the least hash is the window's anchor, so equal windows have equal
 anchors at equal places, and each window belongs to the block of one anchor. The parse is greedy at the level of
 blocks: where a whole block (all windows that its anchor holds) occurs again, the factor goes on to the next anchor. A
@@ -148,6 +149,8 @@ def _windows(packed: DataFrame, window: int) -> DataFrame:
 def duplicate_blocks(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 35) -> DataFrame:
     """(key, spans), in a table: for each document with recurring windows its blocks as an array of (first, count, mask);
     bit k of the mask is set if the block's k-th window occurs elsewhere."""
+    if window - GRAM + 1 > 64:
+        raise ValueError("a window of more than 71 words: a block's windows would not fit its mask of 64 bits")
     rows = _held(docs, id_col, text_col)
     blocks = Table(_anchors(rows, window), "anchors")
     again = blocks.df.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("whole"))
