@@ -2,9 +2,16 @@
 
 import pytest
 
-from wordsonar.llm import rlz
+from wordsonar.llm import rlz, wumanber
 
 
 def test_long_windows_are_refused(edge):
     with pytest.raises(ValueError):
         rlz.duplicate_blocks(edge, window=72)
+
+
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "other words here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, "two three"), (4, "x y")], "item_id bigint, text string")
+    assert [r.doc_id for r in wumanber.clean(docs, items).collect()] == [2]
+    assert not any(r.contaminated for r in wumanber.report(docs, items).collect())

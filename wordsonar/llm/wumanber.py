@@ -8,7 +8,7 @@ without any shuffle.
 
 Defined results: null and empty texts have no words; null and empty items have no window; repeated items and repeated
 documents count each for themselves; an empty benchmark leaves every document clean; a document with a null id is
-searched like any other. Columns of the inputs other than the id and the text are not read.
+searched like any other; items with a null id are searched by clean, not by report, whose SQL leaves them out. Columns of the inputs other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def _round(docs: DataFrame, shared, first: bool, finish=None, schema=None) -> Da
     return docs.mapInArrow(run, out)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, item_id="item_id", item_text="text", window: int = 13, finish=None, schema=None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, item_id="item_id", item_text="text", window: int = 13, finish=None, schema=None, unnamed: bool = False) -> DataFrame:
     """docs, whose texts are in _text, with _spans (flat start, end pairs, in words) and _items (ids of the items that
     occur), or what `finish` makes of them.
 
@@ -129,12 +129,12 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id="item_id", item_text="te
     whatever the table's size; each further shard is one more round, ROUNDS of them within the same tasks.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
+    items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null" if unnamed else "t is not null and i is not null")
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
-        shared = spark.sparkContext.broadcast(build(sorted((r[0], r[1].encode()) for r in part.toLocalIterator()), window))
+        shared = spark.sparkContext.broadcast(build(sorted(((r[0], r[1].encode()) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), window))
         docs = _round(docs, shared, k == 0, *((finish, schema) if k == shards - 1 else ()))
         if k % ROUNDS == ROUNDS - 1 and k < shards - 1:
             docs = Table(docs, "rounds").df
@@ -174,5 +174,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", share: int = 2
         keep = [not (h > 0 and share * h >= n) for h, n in zip(map(covered, spans), counts, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text")], names=["_row", "_text"]).filter(pa.array(keep, pa.bool_()))
 
-    out = find(rows, benchmark, finish=finish, schema=rows.schema, **options)
+    out = find(rows, benchmark, finish=finish, schema=rows.schema, unnamed=True, **options)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
