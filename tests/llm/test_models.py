@@ -15,6 +15,7 @@ from wordsonar.llm import bpe, chat, langid, queries, toxicity, warc
 
 from . import brute
 from .conftest import EDGE
+from .test_near import check as near_check
 
 
 def area(score, y):
@@ -215,26 +216,49 @@ def test_warc_edges(spark):
     assert warc.derive(warc.responses(pages)).count() == 6
 
 
-def plain_pipeline(spark, docs):
-    """The documents that every stage keeps, with their texts."""
-    found = langid.predict(docs, langid.learn(docs)).where("lang_pred <> 'und'").orderBy("doc_id").collect()
-    rows = [(r.doc_id, r.text) for r in found]
-    rows = [(i, t) for (i, t), (_, _, c) in zip(rows, brute.components(rows), strict=True) if i == c]
-    rows = [(i, t if len(w) == len(k) else b" ".join(k).decode()) for (i, t), (w, k) in zip(rows, brute.kept_words([t for _, t in rows]), strict=True)]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    bad = {i for i, _, _, _, c in brute.decontaminated(rows, items) if c}
-    return [(i, t) for i, t in rows if i not in bad]
+def windows_of(text, size=13):
+    w = brute.item_words(text)
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
 def test_pipeline(spark, docs):
+    """Every stage against brute force over its own input, and run() against the stages one after another."""
     import corpus_pipeline
 
-    expected = plain_pipeline(spark, docs)
+    stages, given, now = dict(corpus_pipeline.STAGES), {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SMALL).cache()
+        given[name] = [(r.doc_id, r.text) for r in now.collect()] if name != "tokenize" else {r.doc_id: r for r in now.collect()}
+    assert list(stages) == list(given)
+    found = langid.predict(docs, langid.learn(docs)).where("lang_pred <> 'und'").collect()
+    assert sorted(given["language_id"]) == sorted((r.doc_id, r.text) for r in found)
+    near_check(given["language_id"], given["near_dedup"])
+    assert len(given["near_dedup"]) < docs.count()
+    before = given["near_dedup"]
+    cut = [(i, t if len(w) == len(k) else b" ".join(k).decode()) for (i, t), (w, k) in zip(before, brute.kept_words([t for _, t in before]), strict=True)]
+    assert sorted(given["substring_dedup"]) == sorted(cut)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    every = set().union(*(windows_of(t) for _, t in items))
+    bad = {i for i, _, _, _, c in brute.decontaminated(cut, items) if c} | {i for i, t in cut if windows_of(t) & every}
+    assert sorted(given["decontaminate"]) == sorted((i, t) for i, t in cut if i not in bad) and bad
+    assert not any(windows_of(t) & every for _, t in given["decontaminate"])
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    found = {r.doc_id: r for r in corpus_pipeline.run(spark, SMALL).collect()}
-    assert sorted(found) == sorted(i for i, _ in expected) and len(expected) < docs.count()
-    for i, t in expected:
-        assert found[i].ids == encoding.encode_ordinary(t) and found[i].decoded_sha256 == brute.sha(t)
+    coded = given["tokenize"]
+    assert len(coded) == len(given["decontaminate"])
+    for i, t in given["decontaminate"]:
+        assert coded[i].ids == encoding.encode_ordinary(t) and coded[i].decoded_sha256 == brute.sha(t)
+    assert {r.doc_id: r for r in corpus_pipeline.run(spark, SMALL).collect()} == coded
+
+
+def test_no_window_of_an_item_is_left(spark):
+    import corpus_pipeline
+
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    passage = " ".join(items[0].split()[:14])
+    own = [" ".join(f"x{k}y{j}" for j in range(2000)) for k in range(3)]
+    rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, own[2]), (3, " ".join(items[0].split()[:12]) + " " + own[1])]
+    kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 3]
 
 
 def test_pipeline_edges(spark, edge):

@@ -8,7 +8,8 @@ without any shuffle.
 
 Defined results: null and empty texts have no words; null and empty items have no window; repeated items and repeated
 documents count each for themselves; an empty benchmark leaves every document clean; a document with a null id is
-searched like any other; items with a null id are searched by clean, not by report, whose SQL leaves them out. Columns of the inputs other than the id and the text are not read.
+searched like any other; items with a null id are searched by clean, not by report, whose SQL leaves them out; item ids
+of any type count as their strings. Columns of the inputs other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def words_of(text: bytes) -> list[bytes]:
 class Tables:
     """Shift and bucket tables for patterns whose lengths lie in one class."""
 
-    def __init__(self, patterns: dict[tuple, list[int]]):
+    def __init__(self, patterns: dict[tuple, list[str | None]]):
         self.least = min(map(len, patterns))
         self.block = min(2, self.least)
         self.jump = self.least - self.block + 1
@@ -58,7 +59,7 @@ class Tables:
             self.buckets.setdefault(p[len(p) - self.block :], []).append(p)
         self.patterns = patterns
 
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, int, list[int]]]:
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str | None]]]:
         """(start, end, items) of every occurrence."""
         shift, jump, block, i, n = self.shift.get, self.jump, self.block, self.least, len(words)
         while i <= n:
@@ -73,9 +74,9 @@ class Tables:
             i += 1
 
 
-def build(items: list[tuple[int, bytes]], window: int = 13) -> list[Tables]:
+def build(items: list[tuple[str | None, bytes]], window: int = 13) -> list[Tables]:
     """Tables by length class: full windows, then shorter items by powers of two, lest one short item slow all."""
-    classes: dict[int, dict[tuple, dict[int, None]]] = {}
+    classes: dict[int, dict[tuple, dict[str | None, None]]] = {}
     for item, text in items:
         words = words_of(text)
         n = min(window, len(words))
@@ -91,7 +92,7 @@ _STATE = ["_spans", "_items"]
 def _round(docs: DataFrame, shared, first: bool, finish=None, schema=None) -> DataFrame:
     """Searches the texts in _text for one set of tables. Found spans and items go to the columns _spans and _items,
     or with those of former rounds to finish(batch, words of each text, spans, items), which gives the result's batch."""
-    out = schema or extended(docs.schema, _spans="array<int>", _items="array<bigint>") if first or schema else docs.schema
+    out = schema or extended(docs.schema, _spans="array<int>", _items="array<string>") if first or schema else docs.schema
     kept = [c for c in docs.columns if c not in _STATE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def _round(docs: DataFrame, shared, first: bool, finish=None, schema=None) -> Da
             if finish:
                 yield finish(batch, counts, spans, items)
             else:
-                state = [pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))]
+                state = [pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + state, names=kept + _STATE)
 
     return docs.mapInArrow(run, out)
@@ -129,15 +130,22 @@ def find(docs: DataFrame, benchmark: DataFrame, item_id="item_id", item_text="te
     whatever the table's size; each further shard is one more round, ROUNDS of them within the same tasks.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null" if unnamed else "t is not null and i is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null" if unnamed else "t is not null and i is not null")
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
+    written, sent = None, []
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
-        shared = spark.sparkContext.broadcast(build(sorted(((r[0], r[1].encode()) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), window))
+        shared = spark.sparkContext.broadcast(build(sorted(((r[0], r[1].encode()) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or "", x[1])), window))
+        sent.append(shared)
         docs = _round(docs, shared, k == 0, *((finish, schema) if k == shards - 1 else ()))
         if k % ROUNDS == ROUNDS - 1 and k < shards - 1:
-            docs = Table(docs, "rounds").df
+            done = Table(docs, "rounds")
+            if written:
+                written.drop()
+            for tables in sent:
+                tables.unpersist()
+            docs, written, sent = done.df, done, []
     return docs
 
 
@@ -157,7 +165,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="tex
 
     def finish(batch, counts, spans, items):
         hit = [covered(s) for s in spans]
-        named = [hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest() for i in items]
+        named = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
         bad = [h > 0 and share * h >= n for h, n in zip(hit, counts, strict=True)]
         columns = [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(named, pa.string()), pa.array(bad, pa.bool_())]
         return pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -166,13 +174,17 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="tex
     return find(docs, benchmark, finish=finish, schema=schema, **options)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", share: int = 20, **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; rows stay in their task, nothing is shuffled."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", share: int = 20, window: int = 13, whole: bool = False, **options) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns; rows stay in their task, nothing is shuffled. A
+    document is contaminated if one in `share` of its words is hit; with `whole` also if a run of `window` words is hit,
+    however long the document: then no window of an item is left, and short items alone are judged by their share."""
     rows = docs.select(held([c for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).alias("_text"))
 
     def finish(batch, counts, spans, items):
-        keep = [not (h > 0 and share * h >= n) for h, n in zip(map(covered, spans), counts, strict=True)]
+        hit = [covered(s) for s in spans]
+        long = [whole and any(b - a >= window for a, b in zip(s[0::2], s[1::2], strict=True)) for s in spans]
+        keep = [not (x or h > 0 and share * h >= n) for x, h, n in zip(long, hit, counts, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_text")], names=["_row", "_text"]).filter(pa.array(keep, pa.bool_()))
 
-    out = find(rows, benchmark, finish=finish, schema=rows.schema, unnamed=True, **options)
+    out = find(rows, benchmark, window=window, finish=finish, schema=rows.schema, unnamed=True, **options)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
