@@ -269,3 +269,54 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id int, text string").option("maxFilesPerTrigger", 1).parquet(str(source))
     increment.grow(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.term for r in increment.current(spark, str(tmp_path / "out")).collect()) == ["КРАСНЫЙ", "КУБ", "ШАР"]
+
+
+def test_many_lists(spark):
+    lists = [spark.range(k % 3, 10).select(F.col("id")) for k in range(130)]
+    assert sorted(r.id for r in sets.intersection(*lists).collect()) == list(range(2, 10))
+    missing = {r.id: r.missing for r in sets.missing_counts(*lists).collect()}
+    assert missing == {0: 86, 1: 43} | {k: 0 for k in range(2, 10)}
+
+
+def test_results_and_lists(spark):
+    a, b = spark.createDataFrame([(0, 1), (1, 2)], "score int, id int"), spark.createDataFrame([(1, 2), (1, 3), (2, 1)], "score int, id int")
+    assert sorted(tuple(r) for r in sets.merged(a, b).collect()) == [(0, 1), (1, 2), (1, 3), (2, 1)]
+    assert sets.equal(a, a.union(a)) and not sets.equal(a, b) and sets.equal(a.limit(0), b.limit(0))
+    both = spark.createDataFrame([([1, 2], [1, 2]), ([1], [2]), (None, [1]), (None, None)], "a array<int>, b array<int>")
+    assert [r[0] for r in both.select(sets.same(F.col("a"), F.col("b"))).collect()] == [True, False, False, True]
+    x, y = spark.createDataFrame([("p", 1), ("q", 2)], "key string, v int"), spark.createDataFrame([("q", 3), ("r", 4)], "key string, v int")
+    assert sorted(tuple(r) for r in sets.right_biased(x, y).collect()) == [("p", 1), ("q", 3), ("r", 4)]
+
+
+def test_build_options_and_events(spark):
+    rows = spark.createDataFrame([(k, f"word{'abcdefgh'[k % 8]}x red") for k in range(20)], "id int, text string").coalesce(1)
+    made = []
+    for options in ({}, {"force_parallel": True}, {"threshold": 5}, {"threshold": 50}):
+        engine = Search(spark)
+        engine.on_index_created.append(made.append)
+        assert engine.prepare_index(rows, **options).find("red").count() == 20
+    assert len(made) == 4
+    with pytest.raises(ValueError):
+        Search(None)
+
+
+def test_near_measures_once(spark, monkeypatch):
+    from wordsonar.operators import match
+
+    seen, matcher = spark.sparkContext.accumulator(0), match.near_matcher
+
+    def counted(wanted):
+        run = matcher(wanted)
+
+        def each(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield from run([batch])
+
+        return each
+
+    monkeypatch.setattr(match, "near_matcher", counted)
+    engine = Search(spark).prepare_index(spark.createDataFrame([(1, "red"), (2, "rad bed"), (3, "blue")], "id int, text string"))
+    found = engine.find("red", SearchRequest(search_type=SearchType.NEAR, misprints=2))
+    assert found.count() > 0 and seen.value == 4
+    engine.index.unpersist()

@@ -125,3 +125,21 @@ def test_metaphone():
     assert phonetic.metaphone("Knight") == phonetic.metaphone("Night") and phonetic.metaphone("Phone").startswith("FO") and phonetic.metaphone("Xena")[0] == "S"
     assert phonetic.metaphone("Смит Smith") == "" and phonetic.metaphone("K") == "K" and phonetic.metaphone("") == ""
     assert [phonetic.char_set(x) for x in ("аб", "ab", "аb", "12", "a1")] == ["Cyrillic", "Latina", "Combine", "Other", "Latina"]
+
+
+def test_metaphone_by_columns(spark):
+    """Keys by hand from the rules: Russian by built-in functions, English by the rules, equal to the Python version."""
+    by_hand = {
+        "ПЕТРОВ": "ПИТРАФ", "ЗУБ": "ЗУП", "ВОЗ": "ВАC", "ДЕТСТВО": "ДИЦСТВА", "ЙОД": "ИТ", "АННА": "АНА", "СЪЕЗД": "СИCТ", "МАРИЯ": "МАРИА", "ВТОРНИК": "ФТАРНИК",
+        "KNIGHT": "NIHT", "PHONE": "FONE", "XENA": "SENA", "TOMB": "TOM", "WHO": "WO", "EDGE": "EJJE", "THIN": "OIN", "MATCH": "MACH", "CIA": "XIA", "BOX": "BOKS", "SCHOOL": "SKHOL", "CITY": "SITY", "LETTER": "LETER",
+        "СМИТ SMITH": "", "12": "", "K": "K",
+    }
+    rows = spark.createDataFrame([(w,) for w in by_hand] + [(None,)], "w string").select("w", phonetic.metaphone_key("w").alias("key")).collect()
+    assert {r.w: r.key for r in rows if r.w} == by_hand == {w: phonetic.metaphone(w) for w in by_hand}
+    assert [r.key for r in rows if r.w is None] == [None]
+
+
+def test_upper_is_one_for_one(spark):
+    some = ["straße ŉ ı \ue100\ue101", "ÿǆ ﬁ 𐐨", "éàñ ПРИвет"]
+    found = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(some)], "k int, x string").orderBy("k").select(text.simple_upper(F.col("x"))).collect()]
+    assert found == [text.simple_upper_str(x) for x in some] == ["STRAßE ŉ ı \ue100\ue101", "ŸǄ ﬁ 𐐀", "ÉÀÑ ПРИВЕТ"]

@@ -12,20 +12,20 @@ from pyspark.sql import functions as F
 #: The characters that part words unless an index is given its own.
 DELIMITERS = ".,()-:;!?\"\\'$_=[]<>/«»“” …’\t"
 
-#: Characters whose upper case is longer, or another script's letter; they stay as they are.
-_KEPT = "".join(c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(c.upper()) > 1) + "ı"
-_ASIDE = "".join(chr(0xE100 + k) for k in range(len(_KEPT)))
-_TO_ASIDE = dict(zip(map(ord, _KEPT), _ASIDE, strict=True))
-_BACK = dict(zip(map(ord, _ASIDE), _KEPT, strict=True))
+#: Letters with an upper case of one character, and that. Others stay as they are, and so does the dotless i, whose upper case
+#: is another letter's too.
+_LOWER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c != "ı" and len(c.upper()) == 1 and c.upper() != c)
+_UPPER = _LOWER.upper()
+_TO_UPPER = str.maketrans(_LOWER, _UPPER)
 
 
 def simple_upper(text: Column) -> Column:
     """Upper case, one character for one, whatever the locale."""
-    return F.translate(F.upper(F.translate(text, _KEPT, _ASIDE)), _ASIDE, _KEPT)
+    return F.translate(text, _LOWER, _UPPER)
 
 
 def simple_upper_str(text: str) -> str:
-    return text.translate(_TO_ASIDE).upper().translate(_BACK)
+    return text.translate(_TO_UPPER)
 
 
 def delimiter_class(delimiters: str | None) -> str:

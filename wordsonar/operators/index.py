@@ -87,6 +87,14 @@ class Index:
     def __post_init__(self):
         self.vocab = vocabulary(self.posts)
         self.deletions = deletions(self.vocab) if self.phonetic else None
+        self._hits: DataFrame | None = None
+
+    def hold(self, hits: DataFrame) -> DataFrame:
+        """Keeps the words that a search has found, which its plan reads twice, until the next search or unpersist."""
+        if self._hits is not None:
+            self._hits.unpersist()
+        self._hits = hits.cache()
+        return self._hits
 
     def cache(self) -> Index:
         for df in (self.posts, self.vocab, self.deletions):
@@ -95,7 +103,7 @@ class Index:
         return self
 
     def unpersist(self) -> None:
-        for df in (self.posts, self.vocab, self.deletions):
+        for df in (self.posts, self.vocab, self.deletions, self._hits):
             if df is not None:
                 df.unpersist()
 

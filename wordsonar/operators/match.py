@@ -41,6 +41,8 @@ def near(index: Index, wanted: list[tuple[str, Location, int]], union: bool = Fa
     least = min(len(q) for q, _, _ in wanted)
     match = near_matcher([(q, location == Location.IN_WORD, most) for q, location, most in wanted])
     keys = index.vocab.where(F.col("len") >= least).select("term").mapInPandas(match, _SCHEMA)
+    if not union:
+        keys = index.hold(keys)  # joined and counted: distances are measured once
     found = keys.join(index.posts.withColumnRenamed("term", "key"), "key")
     if union:
         return found.select("q", "id", "d").distinct()

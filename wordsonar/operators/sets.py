@@ -13,18 +13,51 @@ def union(*lists: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [x.select("id") for x in lists]).distinct()
 
 
+#: Lists whose marks share one number.
+_MARKS = 62
+
+
+def _marked(lists: tuple[DataFrame, ...]) -> tuple[DataFrame, list[str]]:
+    """Each id with the lists that have it, as bits of columns of _MARKS bits; one aggregation, whatever their number."""
+    names = [f"bits{w}" for w in range(-(-len(lists) // _MARKS))]
+    bit = lambda k, w: F.lit(1 << k % _MARKS if k // _MARKS == w else 0).cast("bigint")
+    rows = [x.select("id", *[bit(k, w).alias(name) for w, name in enumerate(names)]) for k, x in enumerate(lists)]
+    return reduce(DataFrame.union, rows).groupBy("id").agg(*[F.bit_or(name).alias(name) for name in names]), names
+
+
 def intersection(*lists: DataFrame) -> DataFrame:
     """Ids that every list has, by one aggregation whatever their number."""
-    marked = [x.select("id", F.lit(1 << k).cast("bigint").alias("bit")) for k, x in enumerate(lists)]
-    held = reduce(DataFrame.union, marked).groupBy("id").agg(F.bit_or("bit").alias("bits"))
-    return held.where(F.col("bits") == (1 << len(lists)) - 1).select("id")
+    held, names = _marked(lists)
+    full = [F.col(name) == (1 << min(_MARKS, len(lists) - w * _MARKS)) - 1 for w, name in enumerate(names)]
+    return held.where(reduce(lambda a, b: a & b, full)).select("id")
 
 
 def missing_counts(*lists: DataFrame) -> DataFrame:
     """(id, missing): in how many of the lists an id that some list has is missing."""
-    marked = [x.select("id", F.lit(1 << k).cast("bigint").alias("bit")) for k, x in enumerate(lists)]
-    held = reduce(DataFrame.union, marked).groupBy("id").agg(F.bit_or("bit").alias("bits"))
-    return held.select("id", (F.lit(len(lists)) - F.bit_count("bits")).cast("int").alias("missing"))
+    held, names = _marked(lists)
+    have = reduce(lambda a, b: a + b, [F.bit_count(name) for name in names])
+    return held.select("id", (F.lit(len(lists)) - have).cast("int").alias("missing"))
+
+
+def equal(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two lists hold the same ids, repeats aside; ends at the first one that differs."""
+    marked = a.select("id", F.lit(1).alias("side")).union(b.select("id", F.lit(2)))
+    return marked.groupBy("id").agg(F.bit_or("side").alias("sides")).where("sides <> 3").isEmpty()
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two sorted lists are equal, element by element."""
+    return F.coalesce(a == b, a.isNull() & b.isNull())
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two results (score, id) as one, bucket by bucket: an id stands once in each bucket that either has it in."""
+    return a.select("score", "id").union(b.select("score", "id")).distinct()
+
+
+def right_biased(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
+    """Two tables with unique keys as one; of a key that both have, the second one's row."""
+    return b.unionByName(a.join(b.select(key), key, "left_anti"))
 
 
 def narrow(own: Column, other: Column) -> Column:

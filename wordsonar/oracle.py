@@ -180,6 +180,36 @@ def sound_search(query: str, mode: MatchMode) -> str:
 # --- the registry ---
 
 
+def metaphone(rows: str) -> str:
+    """term, key of the distinct words of rows (id, text): English ones letter by letter, Russian ones by each letter's neighbours."""
+    drop, keep = "-", "="
+    rules = [
+        ("CK", drop), ("CIA", "X1"), ("C[IEY]", "S1"), ("SCH", "K1", ""), ("CH", "X1"), ("C", "K1"), ("DG[EYI]", "J1"), ("DG", keep), ("D", "T1"),
+        ("GGH[AEIOU]$", keep, ""), ("GH", drop), ("(GGN..|[^G]GN.)", drop, ""), ("G.*NED$", drop), ("G[IEY]", "J1"), ("G", "K1"), ("[AEIOU]H([^AEIOU]|$)", drop, ""),
+        ("PH", "F2"), ("Q", "K1"), ("(SH|SI[AO])", "X1"), ("TI[AO]", "X1"), ("[^T]TH", "O2", ""), ("TCH", drop), ("V", "F1"), ("X", "KS"), ("Y[AEIOU]", drop), ("Z", "S1"),
+    ]
+    case = " ".join(f"WHEN regexp_matches(b || r, '^{(*more, '.')[0]}{p}', 's') THEN '{what}'" for p, what, *more in rules)
+    started = """CASE WHEN regexp_matches(t, '^(KN|GN|PN|AE|WR)') THEN substr(t, 2) WHEN regexp_matches(t, '^WH[AEIOU]') THEN 'W' || substr(t, 3) WHEN regexp_matches(t, '^WH') THEN substr(t, 3)
+        WHEN t[1] = 'X' THEN 'S' || substr(t, 2) ELSE t END"""
+    return f"""WITH RECURSIVE words AS MATERIALIZED (SELECT DISTINCT term FROM ({posts(rows)})),
+        kinds AS (SELECT term, regexp_matches(term, '[\\x{{0400}}-\\x{{04ff}}]') AS ru, regexp_matches(term, '[\\x00-\\x2f\\x3a-\\x7f]') AS en FROM words),
+        steps AS (
+            SELECT term, '' AS o, regexp_replace({started}, 'MB$', 'M') AS r, ' ' AS b FROM (SELECT term, term AS t FROM kinds WHERE en AND NOT ru)
+            UNION ALL
+            SELECT term, o || e, CASE what WHEN '{keep}' THEN substr(s, 2) WHEN '{drop}' THEN substr(s, 3) WHEN 'KS' THEN 'S' || substr(s, 2) ELSE substr(s, 1 + what[2]::INT) END,
+                   CASE WHEN e = '' THEN b ELSE e END
+            FROM (SELECT *, CASE WHEN what = '{keep}' THEN s[1] WHEN what = '{drop}' THEN s[2] WHEN s = '' THEN '' ELSE what[1] END AS e
+                  FROM (SELECT *, CASE {case} ELSE '{keep}' END AS what, CASE WHEN b = r[1] AND b <> 'C' THEN substr(r, 2) ELSE r END AS s FROM steps WHERE r <> ''))
+        ),
+        letters AS (SELECT term, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i, length(t) AS n FROM (SELECT term, regexp_replace(term, '[ЬЪ]', '', 'g') AS t FROM kinds WHERE ru AND NOT en)),
+        ended AS (SELECT term, i, CASE WHEN i = n THEN translate(c, 'БВГДЗ', 'ПФКТC') ELSE c END AS c FROM letters),
+        once AS (SELECT * FROM (SELECT *, lag(c) OVER (PARTITION BY term ORDER BY i) AS p FROM ended) WHERE c IS DISTINCT FROM p),
+        near AS (SELECT term, i, c, coalesce(lag(c) OVER (PARTITION BY term ORDER BY i), '') AS p, coalesce(lead(c) OVER (PARTITION BY term ORDER BY i), '') AS f FROM once),
+        ru AS (SELECT term, string_agg(CASE WHEN c IN ('О', 'Е') AND p IN ('Й', 'И') THEN '' WHEN c = 'Й' AND f IN ('О', 'Е') THEN 'И' WHEN c IN ('Д', 'Т') AND f = 'С' THEN 'Ц'
+            WHEN f <> '' AND contains('ТСВКДПГЗБЧХЖШЦЩФ', f) THEN translate(c, 'БВГДЗЕЁЭОЫЯЮ', 'ПФКТCИИИАААУ') ELSE translate(c, 'ЕЁЭОЫЯЮ', 'ИИИАААУ') END, '' ORDER BY i) AS key FROM near GROUP BY term)
+        SELECT term, o AS key FROM steps WHERE r = '' UNION ALL SELECT term, key FROM ru UNION ALL SELECT term, '' FROM kinds WHERE ru = en"""
+
+
 def _line_sql(columns: str, where: str = "") -> str:
     numbered = values([(k + 1, x) for k, x in enumerate(LINES)], "line_no, line")
     cut = f"SELECT line_no, line, strpos(line, ';') AS cut FROM ({numbered})"
@@ -221,6 +251,9 @@ def oracle_sql() -> dict[str, str]:
             {sound('text', False)} AS strict, {sound('text')} AS approx FROM ({people}) WHERE id NOT IN (14, 17)""",
         "phonetic_index": sound_posts(people),
         "phonetic_latin": latin_names(),
+        "metaphone": metaphone(source(PARTS)),
+        "metaphone_names": metaphone(values(NAMES + LATIN_NAMES, "id, text")),
+        "metaphone_documents": metaphone(source(DOCS)),
         "deletion_index": f"""WITH v AS (SELECT DISTINCT term FROM ({parts}))
             SELECT substr(term, 1, i - 1) || substr(term, i + 1) AS variant, term AS key FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM v) UNION SELECT term, term FROM v""",
         "key_distribution": f"""WITH n AS ({named}), b AS (SELECT key, count(*) AS n FROM n WHERE key <> '' GROUP BY key)

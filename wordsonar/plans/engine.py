@@ -13,6 +13,7 @@ from ..operators import combine as _combine
 from ..operators import index as _index
 from ..operators import match as _match
 from ..sources import records as _records
+from . import policy as _policy
 
 
 class Buckets(dict):
@@ -34,12 +35,15 @@ class Search:
     """
 
     def __init__(self, spark: SparkSession, phonetic: bool = False, encoder: _index.Encoder | None = None, bucket_merge: str = "intersect"):
+        if spark is None:
+            raise ValueError("a search needs a Spark session")
         if bucket_merge not in ("intersect", "union"):
             raise ValueError("bucket_merge is intersect or union")
         self.spark, self.is_phonetic, self.encoder, self.bucket_merge = spark, phonetic or encoder is not None, encoder, bucket_merge
         self.search_type, self.location = SearchType.EXACT, Location.BEGIN_WORD
         self.index: _index.Index | None = None
         self.on_index_complete: list[Callable[[bool], None]] = []
+        self.on_index_created: list[Callable[[_index.Index], None]] = []
         self._precision = self._misprints = -1
         self._numbers = self._complete = False
 
@@ -87,12 +91,20 @@ class Search:
 
     # --- sources ---
 
-    def prepare_index(self, records: DataFrame, id_col: str = "id", text_col: str = "text", delimiters: str | None = None, partitions: int | None = None) -> Search:
+    def prepare_index(self, records: DataFrame, id_col: str = "id", text_col: str = "text", delimiters: str | None = None, partitions: int | None = None, force_parallel: bool = False, threshold: int = _policy.THRESHOLD) -> Search:
         """Builds the index of a table. An empty table raises and leaves the former index usable; a null text, as any
-        other failure of the build, raises INDEX_BUILD_FAILED."""
-        if records.isEmpty():
+        other failure of the build, raises INDEX_BUILD_FAILED.
+
+        partitions deals the records to that many tasks; force_parallel, or more records than threshold, to as many as
+        the policy gives for the cores at hand. Else they stay in the partitions that they come in."""
+        if records is None or records.isEmpty():
             raise SearchError(ErrorCode.INVALID_SOURCE_RECORD, "the source has no records")
         rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        cores = self.spark.sparkContext.defaultParallelism
+        if not partitions and (force_parallel or threshold < _policy.THRESHOLD):
+            count = 0 if force_parallel else rows.count()
+            if _policy.should_use_parallel(cores, force_parallel, count, threshold):
+                partitions = max(_policy.degree_of_parallelism(cores), rows.rdd.getNumPartitions())
         return self._build(rows.repartition(partitions) if partitions else rows, delimiters)
 
     def prepare_index_from_lines(self, lines: list[str | None] | DataFrame, delimiter: str, delimiters: str | None = None, id_kind: str = "int", lenient: bool = False) -> Search:
@@ -132,6 +144,8 @@ class Search:
         except Exception as e:
             raise SearchError(ErrorCode.INDEX_BUILD_FAILED, "the index could not be built") from e
         self.index = index
+        for call in self.on_index_created:
+            call(index)
         self.is_index_complete = True
         return self
 

@@ -1,4 +1,4 @@
-"""When a build would go parallel. Spark always does; the rules stay for callers that ask."""
+"""When a build deals its records to more tasks than they come in."""
 
 from __future__ import annotations
 

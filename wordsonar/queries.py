@@ -162,8 +162,21 @@ def phonetic_latin(spark, sf_dir):
     return found.select("id", phonetic.language(F.col("text")).alias("language"), phonetic.transliterated("text").alias("cyrillic"), phonetic.first_key(F.col("text")).alias("approx"))
 
 
+def _metaphone(rows):
+    return index.vocabulary(index.postings(rows)).select("term", phonetic.metaphone_key("term").alias("key"))
+
+
 def metaphone(spark, sf_dir):
-    return index.vocabulary(index.postings(table(spark, sf_dir, PARTS))).select("term", phonetic.metaphone_key("term").alias("key"))
+    return _metaphone(table(spark, sf_dir, PARTS))
+
+
+def metaphone_names(spark, sf_dir):
+    """Of words in either alphabet."""
+    return _metaphone(spark.createDataFrame(NAMES + LATIN_NAMES, "id bigint, text string"))
+
+
+def metaphone_documents(spark, sf_dir):
+    return _metaphone(table(spark, sf_dir, DOCS))
 
 
 def deletion_index(spark, sf_dir):
@@ -272,7 +285,7 @@ def find_batch(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         index_postings, index_term_stats, index_lists, custom_delimiters, number_search, no_number_search, delimited_source, delimited_parse, delimited_lenient, keyboard_distance,
-        phonetic_keys, phonetic_index, phonetic_latin, metaphone, deletion_index, key_distribution, largest_buckets,
+        phonetic_keys, phonetic_index, phonetic_latin, metaphone, metaphone_names, metaphone_documents, deletion_index, key_distribution, largest_buckets,
         set_union, set_intersect, set_missing, set_arrays, bucketised, find_batch,
         phonetic_keys_names, phonetic_keys_documents, phonetic_index_documents, key_distribution_documents, largest_buckets_documents, delimited_parse_part, delimited_lenient_part,
         keyboard_distance_all,
