@@ -1,8 +1,9 @@
 """Limits and options that the operators state."""
 
+import numpy as np
 import pytest
 
-from wordsonar.llm import rlz, wumanber
+from wordsonar.llm import rlz, simhash, wumanber
 
 
 def test_long_windows_are_refused(edge):
@@ -15,3 +16,22 @@ def test_items_without_an_id(spark):
     items = spark.createDataFrame([(None, "two three"), (4, "x y")], "item_id bigint, text string")
     assert [r.doc_id for r in wumanber.clean(docs, items).collect()] == [2]
     assert not any(r.contaminated for r in wumanber.report(docs, items).collect())
+
+
+def test_links_come_from_pairs_of_tiles(monkeypatch):
+    """At every size: without what tile_pairs gives there is no link, and it skips only pairs of tiles without one."""
+    draw = np.random.default_rng(8)
+    some = draw.integers(0, 2**64, 500, dtype=np.uint64)
+    fps = np.unique(np.concatenate([some] + [some[:200] ^ (np.uint64(1) << draw.integers(0, 64, 200).astype(np.uint64)) for _ in range(3)]))
+    links = {(x, y) for k, x in enumerate(fps.tolist()) for y in fps[k + 1 :].tolist() if (x ^ y).bit_count() <= 3}
+    found = lambda made: {tuple(sorted(pair)) for p, q in made for pair in zip(p.tolist(), q.tolist(), strict=True)}
+    for small in (2, 16, 300, 4096):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        laid = simhash._Laid(fps)
+        pairs = list(simhash.tile_pairs(laid, laid, 3))
+        tiles = len(laid.first)
+        assert len(pairs) == len(set(pairs)) <= tiles * (tiles + 1) // 2 and (small > 16 or len(pairs) < 0.7 * tiles * tiles / 2)
+        assert found(simhash.linked_pairs(fps, None, 3)) == links
+        assert found(simhash.linked_pairs(fps[::2], fps[1::2], 3)) == {(x, y) for x, y in links if (x in fps[::2]) != (y in fps[::2])}
+    monkeypatch.setattr(simhash, "tile_pairs", lambda *_: iter(()))
+    assert not found(simhash.linked_pairs(fps, None, 3)) and not found(simhash.dealt_pairs(np.zeros(len(fps), dtype=np.int64), fps, 3))
