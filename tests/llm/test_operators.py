@@ -334,3 +334,49 @@ def test_simhash_radius(spark, radius):
     label = {x.node: x.label for x in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint"), radius)).collect()}
     pairs = {(label.get(f, f), g) for f, g in zip(fps, brute.groups(fps, radius), strict=True)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({g for _, g in pairs})
+
+
+@pytest.mark.parametrize("window", [10, 35])
+def test_parse_into_factors(spark, texts, window):
+    """Every factor stands at its source, factors don't overlap, and with the boundary windows they cover what recurs."""
+    r = random.Random(window)
+    made = [" ".join(r.choice("ab") for _ in range(r.randint(0, 120))) for _ in range(12)] + ["same row of words " * 12] * 2 if window == 10 else [t for _, t in texts]
+    df = spark.createDataFrame([(i // 2 * 2 + i % 2 if t != made[-1] else 99, t) for i, t in enumerate(made)], "doc_id bigint, text string")
+    words = {i: brute.words(t) for i, t in ((x.doc_id, x.text) for x in df.collect())}
+    starts = {}
+    for i, w in words.items():
+        for k in range(len(w) - window + 1):
+            starts.setdefault(tuple(w[k : k + window]), set()).add((i, k))
+    found = rlz.factors(df, window=window).collect()
+    twins = {99} if window == 10 else set()
+    covered, lengths = {}, {}
+    for f in found:
+        w = words[f.doc_id]
+        assert f.length >= window and f.start + f.length <= len(w)
+        covered.setdefault(f.doc_id, set()).update(range(f.start, f.start + f.length))
+        if f.boundary:
+            for k in range(f.start, f.start + f.length - window + 1):
+                assert len(starts[tuple(w[k : k + window])]) > 1 or f.doc_id in twins
+            continue
+        assert w[f.start : f.start + f.length] == words[f.source_id][f.source_start : f.source_start + f.length]
+        assert (f.doc_id, f.start) != (f.source_id, f.source_start) or f.doc_id in twins
+        lengths.setdefault(f.doc_id, []).append((f.start, f.length))
+    for i, w in words.items():
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if len(starts[tuple(w[k : k + window])]) > 1 or i in twins:
+                gone.update(range(k, k + window))
+        assert covered.get(i, set()) == gone
+        own = sorted(lengths.get(i, []))
+        assert all(a + n <= b for (a, n), (b, _) in zip(own, own[1:]))
+        # a greedy parse that tries every source has factors at least as long in all
+        best, k = 0, 0
+        while k < len(w):
+            n = window if len(starts.get(tuple(w[k : k + window]), ())) > 1 else 0
+            while n and k + n < len(w) and any(words[j][p : p + n + 1] == w[k : k + n + 1] for j, p in starts[tuple(w[k : k + window])] if (j, p) != (i, k)):
+                n += 1
+            best += n > 0
+            k += n or 1
+        if i not in twins:
+            assert (best > 0) == bool(own) and len(own) <= 3 * best
+    assert any(not f.boundary for f in found)
