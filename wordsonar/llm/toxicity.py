@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8
 
 #: Labelled rows that the model is fitted on, about; words in the learned lexicon.
 FIT_ROWS, LEARNED = 20_000, 300
@@ -40,8 +40,12 @@ YOU = frozenset("you your yours yourself u ur ye du dich dir dein deine ihr euch
 #: Spellings by other signs, undone before the lexicon is asked.
 _PLAIN = str.maketrans("@4310!|$5780", "aaeioiisstbo")
 _TOKEN = re.compile(r"[^\W_](?:[\w@$!|*.'’-]*[\w@$!|*])?")
-_ODD = re.compile(r"[A-Za-z]+[@$!|*0-9][@$!|*0-9.]*[A-Za-z]|[A-Za-z](?:[.*-][A-Za-z]){2,}")
+#: Letters with such signs or digits among them, and letters parted by dots, stars or dashes. A run of letters is gone
+#: through once, whatever its length: a search begins at its start, and what it has taken it doesn't give back.
+_ODD = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:[@$!|*0-9][@$!|*0-9.]*+[A-Za-z]++)+|[A-Za-z](?:[.*-][A-Za-z]){2,}")
 _RUN = re.compile(r"([A-Za-z])\1{2,}")
+_CAPITALS, _DIGITS, _MARKS, _LOUD = bytes(range(65, 91)), b"0123456789", b".,;:!?-\"'()*#", b"!?"
+_ASCII = re.compile("[\x00-\x7f]+")
 _NEAR = 5
 NAMES = ("words", "insults", "learned", "weight", "greatest", "hits", "near_you", "you", "capitals", "shouted", "exclaims", "punctuation", "odd", "odd_hits", "runs", "digits", "length")
 
@@ -51,6 +55,7 @@ class Lexicon:
     learned: dict[str, float] = field(default_factory=dict)
 
     def features(self, text: str) -> list[float]:
+        """Linear in the text's length, whatever its words."""
         words = _TOKEN.findall(text)
         n, chars = len(words), len(text)
         low = [w.lower() for w in words]
@@ -71,13 +76,17 @@ class Lexicon:
             if not w.isalpha():
                 plain = re.sub(r"[.*'’-]", "", w.lower().translate(_PLAIN))
                 odd_hits += plain in INSULTS or plain in weights
-        capitals = sum(map(str.isupper, text)) if not text.islower() else 0
+        coded = text.encode()
+        count = lambda signs: len(coded) - len(coded.translate(None, signs))
+        rest = "" if text.isascii() else _ASCII.sub("", text)
+        capitals = count(_CAPITALS) + sum(map(str.isupper, rest))
+        digits = count(_DIGITS) + sum(map(str.isdigit, rest))
         per, each = 1000 / max(n, 1), 1 / max(chars, 1)
         return [
             np.log1p(n), insults * per, sum(x > 0 for x in found) * per, sum(found) * per, max(found, default=0.0), np.log1p(len(hits) + odd_hits), near * per, len(you) * per,
-            capitals * each, sum(len(w) > 1 and w.isupper() for w in words) * per, (text.count("!") + text.count("?")) * each,
-            sum(map(text.count, ".,;:!?-\"'()*#")) * each, len(odd) * per, odd_hits * per, len(_RUN.findall(text)) * per,
-            sum(map(str.isdigit, text)) * each, chars / max(n, 1),
+            capitals * each, sum(len(w) > 1 and w.isupper() for w in words) * per, count(_LOUD) * each,
+            count(_MARKS) * each, len(odd) * per, odd_hits * per, len(_RUN.findall(text)) * per,
+            digits * each, chars / max(n, 1),
         ]
 
     def matrix(self, texts: list[str]) -> np.ndarray:
@@ -175,20 +184,25 @@ class Model:
     scale: Isotonic | None
     share: float
 
+    def inputs(self, texts: list[str]) -> np.ndarray:
+        return self.lexicon.matrix(texts) if self.trees else np.zeros((len(texts), 1))
+
+    def of(self, inputs: np.ndarray) -> np.ndarray:
+        """The score of each row of inputs."""
+        return self.scale(self.trees.raw(inputs)) if self.trees else np.full(len(inputs), self.share)
+
     def score(self, texts: list[str]) -> np.ndarray:
-        if not self.trees:
-            return np.full(len(texts), self.share)
-        return self.scale(self.trees.raw(self.lexicon.matrix(texts)))
+        return self.of(self.inputs(texts))
 
 
 def _features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py().decode() for t in utf8(batch.column("text"))]
-            x = shared.value.matrix(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "y", "x"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                x = shared.value.matrix([t.as_py().decode() for t in utf8(batch.column("text"))])
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "y", "x"])
 
     return rows.select("h", "y", "text").mapInArrow(run, "h bigint, y int, x array<double>")
 
@@ -229,8 +243,9 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = shared.value.score([t.as_py().decode() for t in utf8(batch.column("text"))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for whole in batches:
+            rows = [shared.value.inputs([t.as_py().decode() for t in utf8(b.column("text"))]) for b in slices(whole, "text")]
+            scores = shared.value.of(np.concatenate(rows)) if rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([whole.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int")
