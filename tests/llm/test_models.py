@@ -1,9 +1,12 @@
 """Learned operators on held-out rows, formats by round trips, the pipeline against a plain one."""
 
+import gzip
 import random
 import re
+import time
 import zlib
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import public_tokenizers
@@ -292,8 +295,79 @@ def test_warc_files(spark, tmp_path):
         assert all(r.whole for r in back) and len({r.page_id for r in back}) == len(made)
         assert sorted((warc.parse(bytes(r.record)) for r in back), key=repr) == sorted(map(warc.parse, made), key=repr)
     odd = tmp_path / "odd.warc"
+    # a block that holds a version line itself, one of another version, one that is cut short
     block = b"HTTP/1.1 200 OK\r\n\r\n<p>\xff\r\n\r\nWARC/1.1\r\nx"
-    odd.write_bytes(warc.record([("WARC-Type", "response")], b"") + warc.record([("WARC-Type", "response")], block) + warc.record([("WARC-Type", "response")], b"\xfe<p>ok"))
-    back = warc.read(spark, str(odd))
-    assert sorted(r.whole for r in back.collect()) == [False, False, True, True]
-    assert warc.derive(back.where("whole")).where("warc_type = 'conversion'").count() == 2
+    some = [warc.record([("WARC-Type", "response")], x) for x in (b"", block, b"\xfe<p>ok")]
+    odd.write_bytes(b"".join(some[:2]) + some[2].replace(b"WARC/1.1", b"WARC/1.0") + some[2][:-6])
+    back = warc.read(spark, str(odd)).orderBy("page_id").collect()
+    assert [r.whole for r in back] == [True, True, True, False]
+    assert [warc.parse(bytes(r.record))[1] for r in back[:3]] == [b"", block, b"\xfe<p>ok"]
+    assert warc.derive(warc.read(spark, str(odd)).where("whole")).where("warc_type = 'conversion'").count() == 3
+
+
+def test_warc_encoded_bodies():
+    text = "<html lang=de><title>é &amp; b</title><p>one<p>two &#99999999999; &#x41;".encode()
+    head = lambda *more: "".join(f"{k}: {v}\r\n" for k, v in (("Content-Type", "text/html; charset=utf-8"), *more)).encode()
+    chunked = lambda b: b"".join(b"%x;a=b\r\n%s\r\n" % (len(b[k : k + 7]), b[k : k + 7]) for k in range(0, len(b), 7)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    bodies = [
+        ((), text), ((("Content-Encoding", "gzip"),), gzip.compress(text)), ((("Content-Encoding", "deflate"),), zlib.compress(text)),
+        ((("Content-Encoding", "deflate"),), raw.compress(text) + raw.flush()), ((("Transfer-Encoding", "chunked"),), chunked(text)),
+        ((("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")), chunked(gzip.compress(text))), ((("Content-Encoding", "gzip"),), text), ((("Transfer-Encoding", "chunked"),), text),
+    ]
+    for more, payload in bodies:
+        data = warc.record([("WARC-Type", "response"), ("WARC-Target-URI", "http://a/")], b"HTTP/1.1 200 OK\r\n" + head(*more) + b"\r\n" + payload)
+        meta, conversion = warc.derivatives(data)
+        assert conversion[5].decode() == "é & b\none\ntwo \ufffd A" and meta[4] == warc.digest(payload)
+        assert b"title: \xc3\xa9 & b\r\n" in meta[5] and b"language: de\r\n" in meta[5]
+
+
+def test_warc_fields_by_brute_force(spark):
+    """Title, language and links of every page as the standard library's parser finds them."""
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.title, self.lang, self.links, self.inside = None, None, [], False
+
+        def handle_starttag(self, tag, attrs):
+            own = dict(reversed(attrs))
+            if tag == "a" and own.get("href") is not None:
+                self.links.append(own["href"].strip())
+            if tag == "html" and self.lang is None:
+                self.lang = own.get("lang")
+            if tag == "title" and self.title is None:
+                self.inside, self.title = True, ""
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "title"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.title += data
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    blocks = {r.page_id: bytes(r.block).decode() for r in warc.derive(warc.responses(spark.read.parquet(f"{SMALL}/pages.parquet"))).where("warc_type = 'metadata'").collect()}
+    assert len(blocks) == len(pages)
+    for i, p in pages.items():
+        plain = Plain()
+        plain.feed(p.html)
+        lines = blocks[i].split("\r\n")
+        said = lambda name: [x.partition(": ")[2] for x in lines if x.startswith(f"{name}: ")]
+        assert said("title") == ([" ".join(plain.title.split())] if plain.title is not None else [])
+        assert said("language") == ([plain.lang] if plain.lang else [])
+        assert said("outlink") == [" ".join(urljoin(p.url, x).split()) for x in dict.fromkeys(plain.links)]
+
+
+LONG_ODD = {
+    "one word": "a" * 1_000_000, "letters": "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "signs": "a1.@" * 250_000, "tags": "<html " * 170_000, "titles": "<title>" * 140_000,
+    "declarations": "<!" * 500_000, "links": "<a " + "href=" * 200_000 + ">", "number": "&#" + "9" * 1_000_000, "scripts": "<script " * 125_000, "dots": "a." * 500_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LONG_ODD))
+def test_long_odd_texts_take_linear_time(kind):
+    text, began = LONG_ODD[kind], time.process_time()
+    toxicity.Lexicon({"word": 1.0}).features(text)
+    assert len(warc.derivatives(warc.record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\n\r\n" + text.encode()))) == 2
+    assert time.process_time() - began < 15
