@@ -1,9 +1,14 @@
 """Limits and options that the operators state."""
 
+import random
+import time
+
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
-from wordsonar.llm import rlz, simhash, wumanber
+from wordsonar.llm import bpe, rlz, simhash, wumanber
 
 
 def test_long_windows_are_refused(edge):
@@ -35,3 +40,27 @@ def test_links_come_from_pairs_of_tiles(monkeypatch):
         assert found(simhash.linked_pairs(fps[::2], fps[1::2], 3)) == {(x, y) for x, y in links if (x in fps[::2]) != (y in fps[::2])}
     monkeypatch.setattr(simhash, "tile_pairs", lambda *_: iter(()))
     assert not found(simhash.linked_pairs(fps, None, 3)) and not found(simhash.dealt_pairs(np.zeros(len(fps), dtype=np.int64), fps, 3))
+
+
+def test_long_pieces_equal_the_tokenizer_library(monkeypatch):
+    """Pieces of any length and alphabet, and in about linear time."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, draw, tokens = bpe.Coder(path, public_tokenizers.PATTERN), random.Random(6), list(ranks)
+    some = [bytes(draw.choices(a, k=n)) for a in (b"ab", b"aeinrst", b"=-_", b"0123", b"hahaha", bytes(range(256)), b"\n\n\t ") for n in (257, 400, 3000)]
+    some += [draw.choice(tokens) * 300 for _ in range(15)] + [b"".join(draw.choices(tokens, k=200)) for _ in range(15)]
+    for reach in (1, 16):
+        monkeypatch.setattr(bpe, "REACH", reach)
+        for piece in some:
+            if len(piece) > bpe.SHORT:
+                found = [x for _, *x in coder._coded([piece])]
+                assert found == [[" ".join(map(str, library._encode_single_piece(piece))), piece]]
+    began = time.process_time()
+    for piece in (b"x" * 1_000_000, bytes(draw.choices(range(97, 123), k=100_000)), b"7" * 300_000):
+        assert coder._long(piece) == library._encode_single_piece(piece)
+    assert time.process_time() - began < 40
+    monkeypatch.setattr(bpe.Coder, "proper", False)
+    monkeypatch.setattr(bpe, "PLACES", 256)
+    piece = some[1]
+    assert [x for _, *x in coder._coded([piece])] == [[" ".join(map(str, library._encode_single_piece(piece))), piece]]

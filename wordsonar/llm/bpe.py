@@ -2,9 +2,12 @@
 
 A text splits by the tokenizer's pattern; each distinct piece of a partition is encoded once by a recursive query: its
 bytes are token-position rows, adjacent rows join the merge table (ranks by the bytes of both), and each step contracts
-the leftmost pair of least rank in every piece until no pair has a rank. Long pieces take the same steps in a loop
-over tables, where a step contracts equal pairs together as far as the result stays that of single steps, so their
-memory grows with the piece and not with its square. Decoding joins the ids with the vocabulary and aggregates the bytes
+the leftmost pair of least rank in every piece until no pair has a rank. A piece of more than SHORT bytes is cut into
+parts that the same query encodes; neighbours are joined by encoding the bytes around their joint, from a token's start
+on the left to a token's end on the right, further and further until the first and the last token found are those that
+stood there. All neighbouring tokens then are neighbours in some encoding, and with ranks under which every token's bytes
+encode to the token itself (checked before the first long piece) there is one such sequence, the piece's encoding. So
+time and memory grow with the piece and not with its square. Decoding joins the ids with the vocabulary and aggregates the bytes
 in the order of the positions; a document's bytes are those of its pieces. Nothing is shuffled; a process's memory is
 bounded by its cache of pieces (CACHE) and by the size of a slice of texts, it lets both go when no task comes for a
 while, and a lost task is simply run again.
@@ -22,6 +25,7 @@ import re
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cached_property
 
 import duckdb
 import numpy as np
@@ -33,9 +37,12 @@ from pyspark.sql import functions as F
 from .common import slices, utf8
 
 #: Pieces whose ids a process remembers, and those of the texts at hand.
-CACHE = 400_000
-#: Bytes of a piece up to which the recursive query takes it.
-SHORT = 256
+CACHE = 1_000_000
+#: Bytes of a piece up to which the recursive query takes it whole, of the parts of a longer one, and of what is encoded
+#: anew on either side of a joint at first.
+SHORT, PART, REACH = 256, 32, 16
+#: Bytes that the recursive query's places can tell apart.
+PLACES = 1000
 #: Squared bytes of the pieces in one recursive query; half as many rows are what it holds.
 STEPS = 4_000_000
 #: Pieces in one recursive query: places stay below 2 ** 31.
@@ -114,6 +121,7 @@ SELECT piece, string_agg(token, ' ' ORDER BY place) AS ids, unhex(string_agg(v.h
 FROM coded JOIN vocabulary v ON v.rank = token GROUP BY piece
 """
 
+#: For what is longer than PLACES and has no joint (no case is known), a loop over tables.
 #: A step over the table `long`: of each piece, the pairs of least rank that neither overlap one chosen before them nor
 #: follow one whose contraction makes a pair of lesser rank with a neighbour; single steps would have taken that first.
 _PAIRS = """
@@ -166,6 +174,28 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"pair": pa.array([p for p, _ in found], pa.int64()), "token": pa.array([r for _, r in found], pa.int32())})
 
 
+_checked: dict[str, bool] = {}
+
+
+def _proper(path: str, ranks: dict[bytes, int]) -> bool:
+    """Whether each token's bytes encode to the token: its last contraction joins the encodings of its two parts, which
+    are tokens of lesser rank, and no pair before it is of another kind. Once for each vocabulary and process."""
+    if path not in _checked:
+        _checked[path] = all(len(t) == 1 or _contracted(t, ranks) for t in ranks)
+    return _checked[path]
+
+
+def _contracted(t: bytes, ranks: dict[bytes, int]) -> bool:
+    parts = [t[k : k + 1] for k in range(len(t))]
+    while len(parts) > 1:
+        found = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        k = found.index(least := min(found))
+        if least == _NONE:
+            return False
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return True
+
+
 class Memory(dict):
     """What has been found for about `most` keys, in two generations: once the younger is full it becomes the elder, and
     what the elder has and nobody asked for meanwhile goes with it."""
@@ -198,6 +228,8 @@ class Coder:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", merge_table(ranks))
+        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.path, self.ranks = path, ranks
         self._table("vocabulary", pa.table({"hex": [t.hex() for t in ranks], "rank": pa.array(ranks.values(), pa.int64())}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -208,14 +240,22 @@ class Coder:
     def close(self) -> None:
         self.db.close()
 
+    @cached_property
+    def proper(self) -> bool:
+        return _proper(self.path, self.ranks)
+
     def _coded(self, pieces: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
         """(place in pieces, ids joined by a space, the bytes that these stand for)"""
         batch, size = [], 0
         # pieces of like length need about as many steps
         for k in sorted(range(len(pieces)), key=lambda k: len(pieces[k])):
             p = pieces[k]
-            if len(p) > SHORT:
-                yield k, *self._long(p)
+            if len(p) > SHORT and self.proper:
+                ids = self._long(p)
+                yield k, " ".join(map(str, ids)), self.decode([" ".join(map(str, ids))])[0]
+                continue
+            if len(p) > PLACES:
+                yield k, *self._slow(p)
                 continue
             batch.append(k)
             size += len(p) ** 2
@@ -238,7 +278,60 @@ class Coder:
         for k, ids, meant in self.db.execute(_BOTH).fetchall():
             yield batch[k], ids, meant
 
-    def _long(self, piece: bytes) -> tuple[str, bytes]:
+    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each of some pieces, of which equal ones are encoded once."""
+        each = list(dict.fromkeys(pieces))
+        found: dict[bytes, list[int]] = {}
+        at, size = 0, 0
+        each.sort(key=len)
+        for k, p in enumerate(each):
+            size += len(p) ** 2
+            if k + 1 == len(each) or size > STEPS or k + 1 - at == MOST or len(each[k + 1]) > PLACES:
+                if len(p) > PLACES:
+                    found[p] = list(map(int, self._slow(p)[0].split()))
+                else:
+                    found |= {each[n]: list(map(int, ids.split())) for n, ids, _ in self._short(list(range(at, k + 1)), each)}
+                at, size = k + 1, 0
+        return [found[p] for p in pieces]
+
+    def _long(self, piece: bytes) -> list[int]:
+        parts = self._ids([piece[k : k + PART] for k in range(0, len(piece), PART)])
+        while len(parts) > 1:
+            joined = self._join(list(zip(parts[0::2], parts[1::2], strict=False)))
+            parts = joined + parts[-1:] * (len(parts) % 2)
+        return parts[0]
+
+    def _join(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The encoding of each pair of encodings as one."""
+        out: list = [None] * len(pairs)
+        todo, reach = list(range(len(pairs))), REACH
+        while todo:
+            around = []
+            for k in todo:
+                left, right = pairs[k]
+                around.append((self._within(reversed(left), reach), self._within(right, reach)))
+            middles = self._ids([b"".join([self.bytes_of[t] for t in pairs[k][0][len(pairs[k][0]) - a :] + pairs[k][1][:b]]) for k, (a, b) in zip(todo, around, strict=True)])
+            again = []
+            for k, (a, b), middle in zip(todo, around, middles, strict=True):
+                left, right = pairs[k]
+                if (a == len(left) or middle[0] == left[-a]) and (b == len(right) or middle[-1] == right[b - 1]):
+                    out[k] = left[: len(left) - a] + middle + right[b:]
+                else:
+                    again.append(k)
+            todo, reach = again, 2 * reach
+        return out
+
+    def _within(self, tokens, reach: int) -> int:
+        """How many tokens have so many bytes together, or all."""
+        n = 0
+        for t in tokens:
+            n += 1
+            reach -= len(self.bytes_of[t])
+            if reach <= 0:
+                break
+        return n
+
+    def _slow(self, piece: bytes) -> tuple[str, bytes]:
         self._table("long", pa.table({"piece": np.zeros(len(piece), dtype=np.int64), "pos": np.arange(len(piece)), "hex": [f"{b:02x}" for b in piece]}))
         while True:
             self.db.execute(_PAIRS)
