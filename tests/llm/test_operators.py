@@ -380,3 +380,44 @@ def test_parse_into_factors(spark, texts, window):
         if i not in twins:
             assert (best > 0) == bool(own) and len(own) <= 3 * best
     assert any(not f.boundary for f in found)
+
+
+def test_class_bigrams_by_brute_force(spark):
+    """Counts of classes, sizes and every score from the classes that the model names, token by token, whether a word is in
+    the list that goes to every task or in the table only."""
+    r = random.Random(12)
+    made = [" ".join(r.choice("Aa bb cc ddd eee xx yy zzz one two three four".split()) for _ in range(r.randrange(25))) for _ in range(60)] + ["", None]
+    learned, asked = spark.createDataFrame([(t,) for t in made], "text string"), [(k, t) for k, t in enumerate(made[:20] + ["aa never seen bb", "Xx\u00a0yy", None])]
+    for head in (4, 1000):
+        model = brown.learn(learned, top=5, classes=4, head=head)
+        kind = {r.w: (r.n, r.c) for r in model.known.collect()}
+        key = lambda w: int(brown.hashes_of([w]).view(np.int64)[0])
+        counts = Counter(w for t in made for w in lm_tokens(t))
+        assert {key(w): n for w, n in counts.items()} == {w: n for w, (n, _) in kind.items()}
+        of = lambda w: kind[key(w)][1] if key(w) in kind else model.seen.of(w)
+        moves = np.zeros((4, 4))
+        for t in made:
+            w = lm_tokens(t)
+            for a, b in zip([brown.END, *w], w):
+                moves[model.seen.of(a), of(b)] += 1
+        types = np.bincount([of(w) for w in counts], minlength=4)
+        total, distinct = sum(counts.values()), len(counts)
+        for row in brown.score(spark.createDataFrame(asked, "doc_id bigint, text string"), model).collect():
+            w, score = lm_tokens(dict(asked)[row.doc_id]), 0.0
+            for a, b in zip([brown.END, *w], w):
+                x, c = model.seen.of(a), of(b)
+                by_class = (moves[x, c] + 0.5) / (moves[x].sum() + 2) * (counts[b] + 0.5) / (moves[:, c].sum() + 0.5 * (types[c] + 1))
+                score += math.log10(0.9 * by_class + 0.1 * (counts[b] + 0.5) / (total + 0.5 * (distinct + 1)))
+            assert row.score == pytest.approx(score, rel=1e-9)
+
+
+def test_every_word_moves_to_its_likeliest_class():
+    r = np.random.default_rng(5)
+    moves, befores = r.integers(0, 50, (6, 6)).astype(float), r.integers(0, 4, (200, 6)).astype(float)
+    moves[:, 5] = 0  # a class without words takes none
+    e = r.integers(0, 5, 200)
+    found = brown._Exchange(moves, 1).of(befores, befores.sum(axis=1), e)
+    for row, c in zip(befores, found, strict=True):
+        each = [sum(k * math.log((moves[h, x] + 0.5) / (moves[:, x].sum() + 3)) for h, k in enumerate(row)) for x in range(5)]
+        assert each[c] >= max(each) - 1e-9
+    assert (brown._Exchange(moves, 10**6).of(befores, befores.sum(axis=1), e) == e).all()

@@ -101,40 +101,48 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         i = j
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes.
-
-    A word's hash is the sum over its bytes of value[byte] * base ** offset modulo 2 ** 64, then mixed.
-    Long texts go through in chunks that end at white space, so the memory stays bounded.
-    """
+def chunks(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """The offset and the bytes of each chunk of a text; chunks of long texts end at white space, so the memory stays bounded."""
     if len(text) <= 2 * CHUNK_BYTES:
-        return _word_hashes(np.frombuffer(text, dtype=np.uint8))
-    found, i = [], 0
+        yield 0, np.frombuffer(text, dtype=np.uint8)
+        return
+    i = 0
     while i < len(text):
         j = min(len(text), i + CHUNK_BYTES)
         while j < len(text) and not SPACES[text[j]]:
             j += 1
-        found.append(_word_hashes(np.frombuffer(text, dtype=np.uint8, count=j - i, offset=i)))
+        yield i, np.frombuffer(text, dtype=np.uint8, count=j - i, offset=i)
         i = j
-    return np.concatenate(found)
 
 
-def _word_hashes(b: np.ndarray) -> np.ndarray:
+def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes starts and ends."""
     solid = ~SPACES[b]
     edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     if len(b) and solid[0]:
         edge = np.concatenate(([0], edge))
     if len(b) and solid[-1]:
         edge = np.concatenate((edge, [len(b)]))
-    starts, ends = edge[0::2], edge[1::2]
+    return edge[0::2], edge[1::2]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 bytes.
+
+    A word's hash is the sum over its bytes of value[byte] * base ** offset modulo 2 ** 64, then mixed.
+    """
+    found = [hashes_at(b, *word_spans(b)) for _, b in chunks(text)]
+    return np.concatenate(found) if len(found) != 1 else found[0]
+
+
+def hashes_at(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of the words that lie there, in order and apart."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
-    longest = int(lengths.max())
-    at = np.flatnonzero(solid)
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    offset = np.arange(len(at)) - np.repeat(first, lengths)
-    terms = BYTE_VALUE[b[at]] * powers(0, longest)[offset]
+    offset = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    terms = BYTE_VALUE[b[np.repeat(starts, lengths) + offset]] * powers(0, int(lengths.max()))[offset]
     return mix(np.add.reduceat(terms, first))
 
 
