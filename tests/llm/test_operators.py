@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
@@ -421,3 +423,52 @@ def test_every_word_moves_to_its_likeliest_class():
         each = [sum(k * math.log((moves[h, x] + 0.5) / (moves[:, x].sum() + 3)) for h, k in enumerate(row)) for x in range(5)]
         assert each[c] >= max(each) - 1e-9
     assert (brown._Exchange(moves, 10**6).of(befores, befores.sum(axis=1), e) == e).all()
+
+
+def lanes_of(text):
+    """The sums of a text's fingerprint by brute force."""
+    text = text or ""
+    strong = [sum(int(brute.sha(p)[8 * k : 8 * k + 8], 16) for p in text.split("\n")) % 2**32 for k in range(6)]
+    pieces = [p.strip(" ") for p in re.findall(r"[^.!?,;:|\n]{1,16}", text)]
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces if p]
+    return strong + [len(h)] + [sum(x >> k & 1 for x in h) for k in range(64)]
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * c - v[6] for c in v[7:]] for v in (a, b))
+    norm = math.sqrt(sum(c * c for c in x) * sum(c * c for c in y))
+    return min(1.0, max(0.0, sum(p * q for p, q in zip(x, y, strict=True)) / norm)) if norm else 0.0
+
+
+@pytest.mark.parametrize("table", ["documents", "edge"])
+def test_multiset_by_brute_force(spark, texts, edge, table):
+    """Every fingerprint and both likenesses."""
+    some = texts if table == "documents" else EDGE
+    found = (queries.op8_multiset(spark, SMALL) if table == "documents" else multiset.report(edge)).collect()
+    order = sorted(some, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    shown = lambda v: "".join(f"{x:08x}" for x in v)
+    expected = []
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 4
+        own, edit, other = lanes_of(t), lanes_of(t[: len(t) - cut] + after[:cut]), lanes_of(after)
+        expected.append((i, shown(own), shown(edit), round(alike(own, edit), 9), round(alike(own, other), 9)))
+    got = [(r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    if table == "documents":
+        long = [(e[3], e[4]) for e, (_, t) in zip(expected, order, strict=True) if len(t or "") > 200]
+        # what is mostly one repeated line, in one of both only, has its likeness by that line's share
+        assert sum(a > 0.5 for a, _ in long) >= 0.95 * len(long) and sum(a > b for a, b in long) >= 0.98 * len(long)
+
+
+def test_multiset_of_very_many_pieces(spark):
+    """Lanes of a text of more than 2 ** 20 pieces don't run over."""
+    text = "a.b.c\n" * 400_000
+    df = spark.createDataFrame([("x", text), ("y", "a.b.c\n" * 399_999), ("z", "a.b.c\n")], "k string, text string")
+    prints = {r.k: r.lanes for r in multiset.fingerprints(df, "text", "k").collect()}
+    assert prints["x"][6] == 1_200_000
+    pair = spark.createDataFrame([(prints["y"], prints["z"])], "a array<bigint>, b array<bigint>")
+    both = pair.select(multiset.combine(F.col("a"), F.col("b")).alias("sum")).first()["sum"]
+    assert both[6:] == prints["x"][6:]

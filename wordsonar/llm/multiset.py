@@ -1,20 +1,22 @@
 """Document fingerprints by a homomorphic multiset hash, with DataFrame functions only.
 
-A text's paragraphs (lines) and their clauses (parted by . ! ? , ; : |, blank ones left out) are hashed to 64 bits. The fingerprint is a sum
-of wide vectors over them, so it does not depend on their order, and a paragraph is inserted or deleted by adding or
-subtracting its own vector:
+A text's paragraphs (lines) are hashed whole, and in pieces: clauses (parted by . ! ? , ; : |), long ones in runs of PIECE
+characters from their start on, blank ones left out. The fingerprint is a sum of wide vectors over them, so it does not
+depend on the paragraphs' order, and a paragraph is inserted or deleted by adding or subtracting its own vector:
 
-* STRONG lanes: sums modulo 2 ** 32 of parts of a hash of each whole paragraph, for equality;
-* the count of clauses, and LANES narrow lanes: how many clauses have a certain bit of their hash set, modulo 2 ** 20.
-  Three lanes share a long, 20 bits apart, and are added by one addition.
+* STRONG lanes: sums modulo 2 ** 32 of parts of the SHA-256 of each whole paragraph, for equality;
+* the count of pieces, and LANES narrow lanes: how many pieces have a certain bit of their 64-bit hash set, modulo
+  2 ** 32. Two lanes share a long, 32 bits apart, and are added by one addition; no text has so many pieces that one
+  would run over into the other.
 
-A narrow lane minus half the count of clauses is a sum of +-1/2 values; the cosine of two such vectors estimates how
-much of their clauses two texts share. Likeness is 1 for equal fingerprints, else that cosine cut to 0 to 1.
+A narrow lane minus half the count of pieces is a sum of +-1/2 values; the cosine of two such vectors estimates how
+much of their pieces two texts share. Likeness is 1 for equal fingerprints, else that cosine cut to 0 to 1.
 
 The texts are shuffled once, by ranges of ids; all sums, and the step to the next document, keep that partitioning.
 
 Defined results: a null text is an empty one, and an empty text is one empty paragraph; repeated rows are documents of
-their own; rows go by doc_id (null first), then text; a table of one row is its own next document; an empty table gives
+their own; rows go by doc_id (null first), then text (rows without an id, and those of one id, are one range: its task sorts and
+spills them); a table of one row is its own next document; an empty table gives
 no rows; extra columns are not read.
 """
 
@@ -26,51 +28,44 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lanes of 32 bits for equality; longs of three narrow lanes for likeness, at most 40.
-STRONG, WIDE = 6, 32
-LANES = 3 * WIDE
-_MASK = 1 | 1 << 20 | 1 << 40
-_LOW32, _LOW20 = (1 << 32) - 1, (1 << 20) - 1
-#: Documents in a range of ids, about, and ranges at most: one id of each is broadcast.
-RANGE, RANGES = 512, 1 << 14
+#: Lanes of 32 bits for equality; narrow lanes for likeness, as many as a hash has bits; characters of a piece at most.
+STRONG, LANES, PIECE = 6, 64, 16
+_MASK = 1 | 1 << 32
+_LOW32 = (1 << 32) - 1
+#: Documents in a range of ids, about, and ranges at most: one id of each is broadcast (some 3 MB). With more than 67 million
+#: documents ranges grow, as sorts that spill.
+RANGE, RANGES = 512, 1 << 17
 
 
 def parts(text: Column, edited: bool) -> Column:
-    """array<struct<edited, whole, h>>: the hashes of a text's paragraphs (whole) and clauses."""
-    one = lambda whole, h: F.struct(F.lit(edited).alias("edited"), F.lit(whole).alias("whole"), h.alias("h"))
-    return F.concat(
-        F.transform(F.split(text, "\n"), lambda p: one(True, F.xxhash64(p))),
-        F.transform(F.filter(F.split(text, "[.!?,;:|\n]+"), lambda c: F.trim(c) != ""), lambda c: one(False, F.xxhash64(F.trim(c)))),
-    )
+    """array<struct<edited, strong, h>>: the digests of a text's paragraphs (strong) and the hashes of its pieces."""
+    none = F.lit(None)
+    whole = lambda p: F.struct(F.lit(edited).alias("edited"), F.sha2(F.encode(p, "UTF-8"), 256).alias("strong"), none.cast("bigint").alias("h"))
+    piece = lambda c: F.struct(F.lit(edited).alias("edited"), none.cast("string").alias("strong"), F.xxhash64(F.trim(c)).alias("h"))
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(rf"[^.!?,;:|\n]{{1,{PIECE}}}"), F.lit(0)), lambda c: F.trim(c) != "")
+    return F.concat(F.transform(F.split(text, "\n"), whole), F.transform(pieces, piece))
 
 
 def sums() -> list[Column]:
-    """Aggregates over rows of parts: s0.. (strong lanes), clauses, w0.. (three narrow lanes each)."""
-    h, whole = F.col("h"), F.col("whole")
-    out = []
-    for k in range(STRONG):
-        lane = F.xxhash64(h, F.lit(k // 2))
-        lane = (F.shiftrightunsigned(lane, 32) if k % 2 else lane).bitwiseAND(F.lit(_LOW32))
-        out.append(F.sum(F.when(whole, lane).otherwise(0)).alias(f"s{k}"))
-    out.append(F.sum(F.when(whole, 0).otherwise(1)).alias("clauses"))
-    for k in range(WIDE):
-        lane = h if k < 20 else F.xxhash64(h, F.lit(-1))
-        out.append(F.sum(F.when(whole, 0).otherwise(F.shiftrightunsigned(lane, k % 20).bitwiseAND(F.lit(_MASK)))).alias(f"w{k}"))
-    return out
+    """Aggregates over rows of parts: s0.. (strong lanes), pieces, w0.. (two narrow lanes each)."""
+    h, strong = F.col("h"), F.col("strong")
+    lane = lambda k: F.conv(F.substring(strong, 8 * k + 1, 8), 16, 10).cast("bigint")
+    out = [F.coalesce(F.sum(F.when(strong.isNotNull(), lane(k))), F.lit(0)).alias(f"s{k}") for k in range(STRONG)]
+    out.append(F.count(h).alias("pieces"))
+    bits = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_MASK)) for k in range(LANES // 2)]
+    return out + [F.coalesce(F.sum(x), F.lit(0)).alias(f"w{k}") for k, x in enumerate(bits)]
 
 
 def joined() -> Column:
-    """The sums as one array: strong lanes modulo 2 ** 32, clauses, narrow lanes modulo 2 ** 20."""
+    """The sums as one array: strong lanes modulo 2 ** 32, pieces, narrow lanes."""
     strong = [F.col(f"s{k}").bitwiseAND(F.lit(_LOW32)) for k in range(STRONG)]
-    narrow = [F.shiftrightunsigned(F.col(f"w{k}"), 20 * j).bitwiseAND(F.lit(_LOW20)) for k in range(WIDE) for j in range(3)]
-    return F.array(*strong, F.col("clauses"), *narrow)
+    narrow = [F.shiftrightunsigned(F.col(f"w{k % (LANES // 2)}"), 32 * (k // (LANES // 2))).bitwiseAND(F.lit(_LOW32)) for k in range(LANES)]
+    return F.array(*strong, F.col("pieces"), *narrow)
 
 
 def shown(lanes: Column) -> Column:
-    """The fingerprint as text: hex digits of every lane."""
-    strong = F.transform(F.slice(lanes, 1, STRONG), lambda x: F.lpad(F.hex(x), 8, "0"))
-    rest = F.transform(F.slice(lanes, STRONG + 1, LANES + 1), lambda x: F.lpad(F.hex(x), 5, "0"))
-    return F.lower(F.concat(F.array_join(strong, ""), F.array_join(rest, "")))
+    """The fingerprint as text: eight hex digits of every lane."""
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -84,12 +79,12 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, text_col="text", *keys: str) -> DataFrame:
     """keys (which tell rows apart) and the array `lanes` of each text's fingerprint."""
     source = docs.select(*keys, F.explode(parts(F.coalesce(F.col(text_col), F.lit("")), False)).alias("part"))
-    return source.select(*keys, "part.whole", "part.h").groupBy(*keys).agg(*sums()).select(*keys, joined().alias("lanes"))
+    return source.select(*keys, "part.strong", "part.h").groupBy(*keys).agg(*sums()).select(*keys, joined().alias("lanes"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of two texts' paragraphs together, or with sign -1 of the first without those of the second."""
-    moduli = [_LOW32 + 1] * STRONG + [1 << 62] + [_LOW20 + 1] * LANES
+    moduli = [_LOW32 + 1] * STRONG + [1 << 62] + [_LOW32 + 1] * LANES
     return F.zip_with(F.zip_with(a, b, lambda p, q: p + sign * q), F.array(*map(F.lit, moduli)), lambda s, m: F.pmod(s, m))
 
 
