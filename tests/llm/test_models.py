@@ -371,3 +371,34 @@ def test_long_odd_texts_take_linear_time(kind):
     toxicity.Lexicon({"word": 1.0}).features(text)
     assert len(warc.derivatives(warc.record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\n\r\n" + text.encode()))) == 2
     assert time.process_time() - began < 15
+
+
+def test_chat_is_parsed_as_one_text():
+    """Cut anywhere, a conversation's formatted text gives the same turns; what is plain stays plain; a wrong mask is found."""
+    r = random.Random(9)
+    for _ in range(300):
+        turns = [(r.choice(["user", "assistant", "tool"]), "".join(r.choice(["</s>", "[INST]", "\\", "a", "<", "<s", "[/INST]"]) for _ in range(r.randint(0, 5)))) for _ in range(r.randint(1, 5))]
+        lines = [chat.render(*t) for t in turns]
+        whole, cut = chat._Fold(1), chat._Fold(1)
+        at = 0
+        for (role, _), line in zip(turns, lines, strict=True):
+            span = chat.parse(line)[2] if role == "assistant" else (None, None)
+            whole.add(line, *span)
+            if role == "assistant":
+                cut.masks.append((at + span[0], at + span[1]))
+            at += len(line)
+        text = "".join(lines)
+        while text:
+            k = r.randint(1, 6)
+            cut.add(text[:k], None, None)
+            text = text[k:]
+        assert whole.row() == cut.row()
+        assert whole.row()[1] == len(turns) and whole.row()[3] == sum(len(t) for role, t in turns if role == "assistant")
+    assert chat.render("user", "plain [text] < with / all > but control") == "<s>[INST]plain [text] < with / all > but control[/INST]</s>"
+    for wrong in ((4, 6), (2, 5)):
+        with pytest.raises(ValueError):
+            chat._Fold(1).add("<s>abc</s>", *wrong)
+    with pytest.raises(ValueError):
+        fold = chat._Fold(1)
+        fold.add("<s>abc", None, None)
+        fold.row()

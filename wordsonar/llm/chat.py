@@ -6,15 +6,16 @@ A conversation's turns are rendered one after another:
     assistant    <s>text</s>
     any other    <s><<ROLE>>role<</ROLE>>text</s>
 
-The parser is deterministic: what follows `<s>` decides the kind of turn, and its end is the first closing string not
-behind a backslash; a backslash makes the next character literal. Control strings and
-backslashes inside texts get a backslash before them, so no text can look like markup. Each rendered turn is parsed
-again and compared with its source; one that does not come back identical is escaped further, at every character that
-could begin or, joined to what follows, complete a control string, until it does. A turn ends where its own closing string does, so turns that parse alone
-parse the same when joined.
+The parser is deterministic: what follows `<s>` decides the kind of turn, a backslash makes the next character literal,
+and the first control string that is met must be the one that ends the turn: no other may stand in a text. A turn is
+first written with its text as it is, parsed again and compared with its source; only one that does not come back
+identical is escaped: by a backslash before each backslash and each control string and, should that not do, before every
+character that could begin one. So what is plain stays plain.
 
-Rendering is done where the rows are; the rendered turns are then dealt by conversation and sorted, and a stream over
-each partition folds them one by one, so even a conversation with very many turns takes bounded memory.
+Rendering is done where the rows are; the rendered turns are then dealt by conversation and sorted. There the whole
+conversation is parsed again as one text, by a stream that knows nothing of where the rendered turns met: what it finds
+must end where the text does, and the loss mask, moved to its place in that text, must be where assistants' texts are
+found. It holds one turn at a time, so even a conversation with very many turns takes bounded memory.
 
 Defined results: a null text or role is empty; turns go by turn (null first), then role, then text; repeated rows are
 turns of their own; rows with a null conversation id form one conversation; extra columns are not read.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,30 +37,36 @@ _USER, _USER_END = "[INST]", "[/INST]"
 _ROLE, _ROLE_END = "<<ROLE>>", "<</ROLE>>"
 _LIGHT = re.compile(r"\\|<(?=/?s>|</?ROLE>>)|\[(?=/?INST\])")
 _FULL = re.compile(r"[\\<\[]")
-_BEFORE = {end: re.compile(r"((?:[^\\<\[]|\\.|[<\[])*?)" + re.escape(end), re.S) for end in (_CLOSE, _USER_END + _CLOSE, _ROLE_END)}
+#: What a parser stops at: an escaped character, or a control string.
+_STOP = re.compile(r"\\(?:.|\Z)|</?s>|\[/?INST\]|<</?ROLE>>", re.S)
 _LITERAL = re.compile(r"\\(.)", re.S)
-#: The ways to write a text, from the lightest (plain text stays as it is) to the safest.
-ESCAPES = (lambda t: _LIGHT.sub(r"\\\g<0>", t), lambda t: _FULL.sub(r"\\\g<0>", t))
+#: The ways to write a text, from the lightest to the safest.
+ESCAPES = (lambda t: t, lambda t: _LIGHT.sub(r"\\\g<0>", t), lambda t: _FULL.sub(r"\\\g<0>", t))
 
 
 def unescape(text: str) -> str:
     return _LITERAL.sub(r"\1", text) if "\\" in text else text
 
 
+class Incomplete(ValueError):
+    """The text ends within a turn."""
+
+
 def _until(end: str, line: str, at: int) -> tuple[str, int]:
-    if "\\" not in line:
-        to = line.find(end, at)
-        if to >= 0:
-            return line[at:to], to + len(end)
-    elif found := _BEFORE[end].match(line, at):
-        return found[1], found.end()
-    raise ValueError(f"no {end} after {at}")
+    for m in _STOP.finditer(line, at):
+        if m[0][0] != "\\":
+            if line.startswith(end, m.start()):
+                return line[at : m.start()], m.start() + len(end)
+            if end.startswith(line[m.start() :]):
+                break
+            raise ValueError(f"{m[0]} before {end} at {m.start()}")
+    raise Incomplete(f"no {end} after {at}")
 
 
 def parse(line: str, at: int = 0) -> tuple[str, str, tuple[int, int], int]:
     """The turn that begins at `at`: role, text, where the text stands in the line, and the turn's end."""
     if not line.startswith(_OPEN, at):
-        raise ValueError(f"no turn at {at}")
+        raise (Incomplete if _OPEN.startswith(line[at : at + len(_OPEN)]) else ValueError)(f"no turn at {at}")
     at += len(_OPEN)
     if line.startswith(_USER, at):
         start = at + len(_USER)
@@ -128,24 +136,37 @@ def rendered(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col="ro
 
 
 class _Fold:
-    """What is read back from a conversation's formatted turns, one after another."""
+    """What is read back from a conversation's formatted text, which comes in parts."""
 
     def __init__(self, conv):
         self.conv, self.turns, self.loss, self.size = conv, 0, 0, 0
         self.all, self.masked = hashlib.sha256(), hashlib.sha256()
+        self.rest, self.begins, self.masks = "", 0, deque()  # what isn't parsed yet, where it begins, and the mask from there on
 
-    def add(self, line: str, start: int | None, end: int | None) -> None:
-        """start and end: what the loss mask covers, if anything."""
-        for role, text, _ in parse_all(line):
+    def add(self, part: str, start: int | None, end: int | None) -> None:
+        """start and end: what the loss mask covers of the part, if anything."""
+        if start is not None:
+            self.masks.append((self.size + start, self.size + end))
+        self.rest, self.size, at = self.rest + part, self.size + len(part), 0
+        while at < len(self.rest):
+            try:
+                role, text, (a, b), end = parse(self.rest, at)
+            except Incomplete:
+                break
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-        if start is not None:
-            text = unescape(line[start:end])
-            self.loss += len(text)
-            self.masked.update(text.encode())
-        self.size += len(line)
+            if self.masks and self.masks[0][0] < self.begins + end:
+                if self.masks.popleft() != (self.begins + a, self.begins + b):
+                    raise ValueError(f"conversation {self.conv}: the loss mask isn't a turn's text at {self.begins + a}")
+                text = unescape(self.rest[a:b])
+                self.loss += len(text)
+                self.masked.update(text.encode())
+            at = end
+        self.rest, self.begins = self.rest[at:], self.begins + at
 
     def row(self) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {self.conv} ends within a turn")
         return self.conv, self.turns, self.all.hexdigest(), self.loss, self.masked.hexdigest(), self.size
 
 
