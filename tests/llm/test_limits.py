@@ -2,13 +2,14 @@
 
 import random
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from wordsonar.llm import bpe, rlz, simhash, wumanber
+from wordsonar.llm import bpe, common, rlz, simhash, wumanber
 
 
 def test_long_windows_are_refused(edge):
@@ -64,3 +65,16 @@ def test_long_pieces_equal_the_tokenizer_library(monkeypatch):
     monkeypatch.setattr(bpe, "PLACES", 256)
     piece = some[1]
     assert [x for _, *x in coder._coded([piece])] == [[" ".join(map(str, library._encode_single_piece(piece))), piece]]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    for master in ("local", "local[8]", "local[*]", "local[4, 2]"):
+        assert common.scratch(session(master)) == "file:///tmp/checkpoints"
+    for master in ("spark://a:7077", "yarn", "local-cluster[3,2,3000]"):
+        assert common.scratch(session(master, "hdfs://x/y")) == "hdfs://x/y"
+        with pytest.raises(RuntimeError):
+            common.scratch(session(master))

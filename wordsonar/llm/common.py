@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,8 +28,11 @@ BASES = _rng.integers(1, 2**62, 8, dtype=np.uint64) * np.uint64(4) + np.uint64(1
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for tables between jobs: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The shared folder for tables between jobs, spark.checkpoint.dir. Where that is unset a session whose tasks all run in
+    the driver's own process takes a folder of its own; a cluster has no folder that all its machines share, and raises."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return at or "file:///tmp/checkpoints"
 
 
