@@ -1,6 +1,7 @@
 """Learned operators on held-out rows, formats by round trips, the pipeline against a plain one."""
 
 import gzip
+import math
 import random
 import re
 import time
@@ -402,3 +403,102 @@ def test_chat_is_parsed_as_one_text():
         fold = chat._Fold(1)
         fold.add("<s>abc", None, None)
         fold.row()
+
+
+def slow_counts(text):
+    """How often each n-gram stands in a text."""
+    counts = {}
+    code = lambda c: ord(c) % 16381 + 1 if c.isalpha() else 0
+    low = " " + text.lower() + " "
+    for i in range(1, len(low) - 1):
+        b, one, a = code(low[i - 1]), code(low[i]), code(low[i + 1])
+        if one:
+            for g in [one, (one << 14 | a) + (1 << 42), (b << 28 | one << 14 | a) + (2 << 42)] + ([one + (1 << 42)] if not b else []):
+                counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+def test_language_by_brute_force(spark, docs):
+    """Every prediction and score of the query, with profiles learned one n-gram at a time."""
+    rows = {r.doc_id: r for r in docs.collect()}
+    own = {i: slow_counts(r.text or "") for i, r in rows.items()}
+    by_lang = {}
+    for i, r in rows.items():
+        if zlib.crc32(str(i).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            total = by_lang.setdefault(r.lang, {})
+            for g, n in own[i].items():
+                total[g] = total.get(g, 0) + n
+    top = lambda counts: {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], g))[:400])}
+    profiles = {name: top(counts) for name, counts in sorted(by_lang.items())}
+    for r in queries.op5_language(spark, SMALL).collect():
+        ranks = top(own[r.doc_id])
+        far = {name: sum(abs(p[g] - k) if g in p else 400 for g, k in ranks.items()) for name, p in profiles.items()}
+        best = min(far, key=lambda name: (far[name], name))
+        expected = (best, 1 - far[best] / (400 * len(ranks))) if ranks else ("und", 0.0)
+        assert (r.lang_pred, r.score) == (expected[0], pytest.approx(expected[1]))
+
+
+def slow_features(text, learned):
+    """The features of a text, word by word and character by character."""
+    words = re.findall(r"[^\W_](?:[\w@$!|*.'’-]*[\w@$!|*])?", text)
+    low = [w.lower() for w in words]
+    n, per, each = len(words), 1000 / max(len(words), 1), 1 / max(len(text), 1)
+    marked = [k for k, w in enumerate(low) if w in learned or w in toxicity.INSULTS]
+    weights = [learned.get(low[k], 0.0) for k in marked]
+    you = [k for k, w in enumerate(low) if w in toxicity.YOU]
+    near = sum(any(abs(k - j) <= 5 for j in you) for k in marked)
+    letter = lambda c: c.isascii() and c.isalpha()
+    odd, i = 0, 0
+    while i < len(text):
+        j, ends = i, 0
+        if letter(text[i]) and not (i and letter(text[i - 1])):
+            while j < len(text) and letter(text[j]):
+                j += 1
+            while j < len(text) and text[j] in "@$!|*0123456789":
+                k = j
+                while k < len(text) and text[k] in "@$!|*0123456789.":
+                    k += 1
+                if k == len(text) or not letter(text[k]):
+                    break
+                while k < len(text) and letter(text[k]):
+                    k += 1
+                j = ends = k
+        if not ends and letter(text[i]):
+            j, pairs = i + 1, 0
+            while j + 1 < len(text) and text[j] in ".*-" and letter(text[j + 1]):
+                j, pairs = j + 2, pairs + 1
+            ends = j if pairs >= 2 else 0
+        odd += ends > 0
+        i = ends or i + 1
+    plain = str.maketrans("@4310!|$5780", "aaeioiisstbo")
+    odd_hits = sum(x in toxicity.INSULTS or x in learned for w in words if not w.isalpha() for x in [re.sub(r"[.*'’-]", "", w.lower().translate(plain))]) if odd else 0
+    runs = sum(1 for _ in re.finditer(r"([A-Za-z])\1\1+", text))
+    count = lambda signs: sum(c in signs for c in text)
+    return [
+        np.log1p(n), sum(low[k] in toxicity.INSULTS for k in marked) * per, sum(x > 0 for x in weights) * per, sum(weights) * per, max(weights, default=0.0), np.log1p(len(marked) + odd_hits), near * per,
+        len(you) * per, sum(c.isupper() for c in text) * each, sum(len(w) > 1 and w.isupper() for w in words) * per, count("!?") * each, count(".,;:!?-\"'()*#") * each, odd * per, odd_hits * per, runs * per,
+        sum(c.isdigit() for c in text) * each, len(text) / max(n, 1),
+    ]
+
+
+def test_toxicity_by_brute_force(spark, docs, texts):
+    """Every score of the query: features by hand, trees walked one row at a time, the calibration's line by line."""
+    model = toxicity.learn(docs.select("doc_id", "text").where(~queries._held_out(5, 0)), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    scored = {r.doc_id: r for r in queries.op1_toxicity(spark, SMALL).collect()}
+    trees, scale = model.trees, model.scale
+    some = texts + [(None, t) for t in ("", "f4ck1ng a.b.c x1 1x y@@", "é É idi0t you aaa!!!", "a..b-c*d")]
+    for i, t in some:
+        x = slow_features(t or "", model.lexicon.learned)
+        assert x == pytest.approx(model.lexicon.features(t or ""))
+        bins = [int(np.searchsorted(e, v)) for e, v in zip(trees.edges, model.lexicon.features(t or ""), strict=True)]
+        raw = trees.start
+        for features, cuts, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+            node = 0
+            for f, c in zip(features, cuts, strict=True):
+                node = 2 * node + int(bins[f[node]] > c[node])
+            raw += leaf[node]
+        k = int(np.searchsorted(scale.x, raw))
+        at = scale.y[0] if k == 0 else scale.y[-1] if k == len(scale.x) else scale.y[k - 1] + (scale.y[k] - scale.y[k - 1]) * (raw - scale.x[k - 1]) / (scale.x[k] - scale.x[k - 1])
+        expected = min(1.0, max(0.0, at + 1e-4 * math.tanh(raw / 8)))
+        if i is not None:
+            assert scored[i].score == pytest.approx(expected, abs=1e-9) and scored[i].predicted == (scored[i].score >= 0.5)
