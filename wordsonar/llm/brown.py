@@ -448,12 +448,12 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
     schema = "doc_id bigint, row bigint, n_tokens bigint, known bigint, logs double, kinds double, words array<bigint>, codes array<int>"
     scored = Table(source.mapInArrow(run, schema), "coded").df
     tail = scored.select("row", F.explode(F.arrays_zip("words", "codes")).alias("t")).select("row", F.col("t.words").alias("w"), F.col("t.codes").alias("code"))
-    # what a word that is in the table adds to what a word that isn't has
-    pairs = F.lit(model.pairs.ravel().tolist())
-    met = tail.join(model.known, "w").select(
-        "row", (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5))).alias("log"),
-        (F.get(pairs, (F.col("code") - F.col("code") % classes + F.col("c")).cast("int")) - F.get(pairs, F.col("code"))).alias("kind"),
-    ).groupBy("row").agg(F.count("*").alias("more"), F.sum("log").alias("log_more"), F.sum("kind").alias("kind_more"))
+    # what a word that is in the table adds to what a word that isn't has; the pairs of classes are a few thousand rows
+    pairs = docs.sparkSession.createDataFrame(list(enumerate(model.pairs.ravel().tolist())), "code int, log double")
+    own, other = (F.broadcast(pairs.select(F.col("code").alias(name), F.col("log").alias(f"{name}_log"))) for name in ("own", "other"))
+    met = tail.join(model.known, "w").select("row", "n", F.col("code").alias("other"), (F.col("code") - F.col("code") % classes + F.col("c")).cast("int").alias("own"))
+    met = met.join(own, "own").join(other, "other").select("row", (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5))).alias("log"), (F.col("own_log") - F.col("other_log")).alias("kind"))
+    met = met.groupBy("row").agg(F.count("*").alias("more"), F.sum("log").alias("log_more"), F.sum("kind").alias("kind_more"))
     both = scored.drop("words", "codes").join(met, "row", "left")
     logs = F.col("logs") + F.coalesce("log_more", F.lit(0.0))
     norm = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
