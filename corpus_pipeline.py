@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't near copies (0.8 or more of their five-word shingles) of one with a lesser id."""
+    """The documents that aren't near copies (0.8 or more of their five-word shingles) of others, by SimHash in tiles and exact sets."""
     return near.without_copies(docs)
 
 

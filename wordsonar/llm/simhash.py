@@ -13,6 +13,9 @@ comparisons where now some 3e8 are made, growing with the square. A value with m
 dealt further, a cell for each pair of parts whose counts are within the radius. A cell returns a spanning forest of its
 links, not all links: a group of m near-copies gives at most m - 1 rows per cell and no link between components is lost.
 
+Wide fingerprints (WORDS * 64 bits, of sets of hashes) tell likenesses of 0.8 from lesser ones, which 64 bits don't; they
+are compared by the same tiles, laid out by a key and by the sets' sizes, and tiles whose sizes are too far apart are skipped.
+
 Defined results: null and empty texts, and texts without words, have fingerprint zero and are linked like any others;
 repeated rows give repeated result rows; a null id keeps its row, and takes the least id of its component (null if the
 component has none); extra columns are not read.
@@ -29,11 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, slices, utf8
+from .common import Table, mix, slices, utf8
 from .components import components
 
 #: Fingerprints in a cell (or in each of its two parts), and in a tile within it.
 TILE, SMALL = 131072, 256
+#: Words of 64 bits in a wide fingerprint, wide fingerprints in a tile, and hashes whose bits are summed at once.
+WORDS, SIDE, BLOCK = 16, 128, 4096
+_rng = np.random.default_rng(20261126)
+_FACTORS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -70,6 +77,66 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
     return columns.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+def wide(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WORDS words for each set of hashes: a bit is 1 if over half of the set's hashes, mixed anew for each word,
+    have it. No set is empty."""
+    every, sizes = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    offset = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ones = np.zeros((len(sets), 64 * WORDS), dtype=np.int32)
+    for i in range(0, len(every), BLOCK):
+        h = mix(every[i : i + BLOCK, None] * _FACTORS)
+        # a byte for each bit, eight of them summed as one word: 255 rows at most
+        lanes = np.unpackbits(h.view(np.uint8)).view(np.uint64).reshape(len(h), -1)
+        cuts = np.flatnonzero(offset[i : i + BLOCK] % 255 == 0)
+        cuts = cuts if len(cuts) and cuts[0] == 0 else np.concatenate(([0], cuts))
+        ends, mine = np.append(cuts[1:], len(h)), owner[i + cuts]
+        for a, b, k in zip(cuts.tolist(), ends.tolist(), mine.tolist(), strict=True):
+            ones[k] += lanes[a:b].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * ones > sizes[:, None], axis=1).view(np.uint64)
+
+
+class _Sized:
+    """Wide fingerprints (some words of them) in the order of their keys and their sets' sizes, cut into tiles, each with
+    its range of keys and of sizes."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, rows: np.ndarray):
+        self.rows = rows[np.lexsort((sizes[rows], keys[rows]))]
+        self.keys, self.sizes, self.fps = keys[self.rows], sizes[self.rows], np.ascontiguousarray(fps[self.rows].T)
+        cuts = np.arange(0, len(rows), SIDE)
+        self.cuts = np.append(cuts, len(rows))
+        self.low, self.high = np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts)
+        self.first, self.last = self.keys[cuts], self.keys[self.cuts[1:] - 1]
+
+
+def alike(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, radius: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows (one of left, one of right; right None: two of left) with the same key, whose sizes differ by no
+    more than percent hundredths allow and whose fingerprints by no more than the greater radius of both, in portions."""
+    if not len(left) or right is not None and not len(right):
+        return
+    a = _Sized(keys, sizes, fps, left)
+    b = a if right is None else _Sized(keys, sizes, fps, right)
+    for i in range(len(a.first)):
+        start, end = np.searchsorted(b.last, a.first[i]), np.searchsorted(b.first, a.last[i], side="right")
+        start = max(start, i) if a is b else start
+        fit = (100 * b.high[start:end] >= percent * a.low[i]) & (100 * a.high[i] >= percent * b.low[start:end])
+        x = slice(a.cuts[i], a.cuts[i + 1])
+        for j in (np.flatnonzero(fit) + start).tolist():
+            y = slice(b.cuts[j], b.cuts[j + 1])
+            apart = np.zeros((x.stop - x.start, y.stop - y.start), dtype=np.uint16)
+            for p, q in zip(a.fps[:, x], b.fps[:, y], strict=True):
+                apart += np.bitwise_count(p[:, None] ^ q[None, :])
+            most = max(radius[a.rows[x]].max(), radius[b.rows[y]].max())
+            p, q = np.nonzero((apart <= most) & (a.keys[x][:, None] == b.keys[y][None, :]))
+            m, n = a.sizes[x][p], b.sizes[y][q]
+            near = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (apart[p, q] <= np.maximum(radius[a.rows[x][p]], radius[b.rows[y][q]]))
+            p, q = p[near], q[near]
+            if a is b and i == j:
+                p, q = p[p < q], q[p < q]
+            if len(p):
+                yield a.rows[x][p], b.rows[y][q]
+
+
 def _byte_counts(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8))
 
