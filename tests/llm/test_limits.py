@@ -78,3 +78,18 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         assert common.scratch(session(master, "hdfs://x/y")) == "hdfs://x/y"
         with pytest.raises(RuntimeError):
             common.scratch(session(master))
+
+
+def test_pieces_in_one_recursive_query(monkeypatch):
+    """What one query holds is bounded by the pieces' squared bytes, and the ids are the library's however they are grouped."""
+    held, short = [], bpe.Coder._short
+    monkeypatch.setattr(bpe.Coder, "_short", lambda self, batch, pieces: held.append(sum(len(pieces[k]) ** 2 for k in batch)) or short(self, batch, pieces))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder = bpe.Coder(path, public_tokenizers.PATTERN)
+    try:
+        text = " ".join(f"{k:x}ab{'xyz'[k % 3] * (k % 40)}" for k in range(40000))
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+        assert coder.encode([text]) == [" ".join(map(str, library.encode_ordinary(text)))]
+    finally:
+        coder.close()
+    assert sum(held) > 2_000_000 and max(held) <= 1_000_000 + bpe.SHORT**2

@@ -34,17 +34,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, trim, utf8
 
 #: Pieces whose ids a process remembers, and those of the texts at hand.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Bytes of a piece up to which the recursive query takes it whole, of the parts of a longer one, and of what is encoded
 #: anew on either side of a joint at first.
 SHORT, PART, REACH = 256, 32, 16
 #: Bytes that the recursive query's places can tell apart.
 PLACES = 1000
 #: Squared bytes of the pieces in one recursive query; half as many rows are what it holds.
-STEPS = 4_000_000
+STEPS = 1_000_000
 #: Pieces in one recursive query: places stay below 2 ** 31.
 MOST = 1 << 20
 #: Stands for no token; ids are below it.
@@ -390,6 +390,7 @@ def coder_of(path: str, pattern: str) -> Iterator[Coder]:
     with _lock:
         if (path, pattern) not in _coders:
             _coders.clear()
+            trim()
             _coders[path, pattern] = Coder(path, pattern)
         coder, _users = _coders[path, pattern], _users + 1
         if timer := _timers.pop(path, None):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -104,6 +106,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         i = j
 
 
+def trim() -> None:
+    """Gives back what this process holds but doesn't use, as tasks of other operators may have run in it before."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # GNU's only
+        libc.malloc_trim(0)
+
+
 def chunks(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
     """The offset and the bytes of each chunk of a text; chunks of long texts end at white space, so the memory stays bounded."""
     if len(text) <= 2 * CHUNK_BYTES:
