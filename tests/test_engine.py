@@ -320,3 +320,34 @@ def test_near_measures_once(spark, monkeypatch):
     found = engine.find("red", SearchRequest(search_type=SearchType.NEAR, misprints=2))
     assert found.count() > 0 and seen.value == 4
     engine.index.unpersist()
+
+
+def test_rows_in_place_of_postings(spark, monkeypatch):
+    """Without held postings a search gives the same; pairs that repeat, ids that repeat and several keys of a word too."""
+    texts = ["red rad red", "rad bed", "red bed rod", "blue", "Схин Шин схин", "Шина", "шин"]
+    rows = spark.createDataFrame([*enumerate(texts), (2, "red bed"), (3, "bed red")], "id int, text string")
+    several = {"RED": ["ONE", "TWO"], "RAD": ["TWO"], "BED": ["ONES", "TWO", " "], "BLUE": []}
+    requests = [("red bed", SearchRequest(m, t, loc, misprints=2)) for m in MatchMode for t in SearchType for loc in Location]
+
+    def results():
+        made = []
+        for options in ({}, {"bucket_merge": "union"}, {"phonetic": True}, {"encoder": several.get}):
+            engine = Search(spark, **options).prepare_index(rows)
+            asked = [("шин", SearchRequest(m)) for m in MatchMode] if "phonetic" in options else [("red bed", SearchRequest(m)) for m in MatchMode] if "encoder" in options else requests
+            made += [sorted(map(tuple, engine.find(q, r, candidates).collect())) for q, r in asked for candidates in ({True, "encoder" not in options})]
+            made.append((engine.index.posts.count(), engine.index.vocab.count(), engine.index.is_empty()))
+            engine.index.unpersist()
+        return made
+
+    held = results()
+    monkeypatch.setattr(index, "HELD", -1)
+    assert results() == held and all(held)
+    monkeypatch.setattr("wordsonar.operators.match.SENT", -1)  # found words too many to be sent
+    assert results() == held
+    bad = spark.createDataFrame([("1", "red"), ("x", "шин")], "id string, text string").select(F.col("id").cast("int"), "text")
+    for options in ({}, {"phonetic": True}, {"encoder": lambda w: 1 / 0}):
+        assert failed(lambda options=options: Search(spark, **options).prepare_index(bad)) == ErrorCode.INDEX_BUILD_FAILED
+        assert failed(lambda options=options: built(spark, ["1", "a"], **options).find("слово")) in (ErrorCode.INDEX_IS_EMPTY, ErrorCode.INDEX_BUILD_FAILED)
+    engine = Search(spark).prepare_index(rows)
+    assert engine.index.rows is not engine.index.posts and engine.index.cache().rows is engine.index.posts and engine.find("red").count() == 3
+    engine.index.unpersist()

@@ -58,6 +58,32 @@ def test_sound_searches(spark, name):
         assert r.score >= 0
 
 
+def shuffled(spark):
+    """Records that all stages so far have written for a shuffle."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = gateway.jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+@pytest.mark.parametrize("name", ["phonetic_prefix_documents", "near_documents"])
+def test_search_shuffles_what_it_finds(spark, monkeypatch, name):
+    """Not the postings of a table that is too large to be held; near and sound searches shuffle a vocabulary."""
+    rows = queries.table(spark, SMALL, queries.DOCS)
+    pairs = index.postings(rows).count()
+    monkeypatch.setattr(index, "HELD", -1, raising=False)
+    run = queries.queries()[name]
+    spark.catalog.clearCache()
+    before = shuffled(spark)
+    found = sorted(map(tuple, run(spark, SMALL).collect()))
+    written = sum(n for k, n in shuffled(spark).items() if k not in before)
+    assert written < (pairs / 20 if name.startswith("exact") else pairs)
+    monkeypatch.undo()
+    assert found == sorted(map(tuple, run(spark, SMALL).collect()))
+    spark.catalog.clearCache()
+
+
 def test_lines_of_parts(spark):
     n = queries.table(spark, SMALL, queries.PARTS).where(F.trim("text") != "").count()
     assert queries.queries()["delimited_lenient_part"](spark, SMALL).count() == n

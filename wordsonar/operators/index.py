@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 from ..functions import phonetic
 from ..functions.text import words
 
+#: Postings that an engine keeps in memory between its searches, at most.
+HELD = 1 << 20
+
 #: Makes the sound keys of a word: a column function, or a plain one from a string to a string or a list of strings.
 Encoder = Callable
 
 
+def tokens(records: DataFrame, id_col="id", text_col="text", delimiters: str | None = None, keep_numbers: bool = False) -> DataFrame:
+    """(term, id) as the records have them: no shuffle, so pairs may repeat."""
+    found = records.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col), delimiters, keep_numbers)).alias("term"))
+    return found.select("term", "id")
+
+
 def postings(records: DataFrame, id_col="id", text_col="text", delimiters: str | None = None, keep_numbers: bool = False) -> DataFrame:
     """(term, id): pairs repeat neither within a task nor after the one shuffle."""
-    found = records.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col), delimiters, keep_numbers)).alias("term"))
-    return found.select("term", "id").distinct()
+    return tokens(records, id_col, text_col, delimiters, keep_numbers).distinct()
 
 
 def key_column(encoder: Encoder | None) -> Callable[[Column], Column]:
@@ -45,9 +53,18 @@ def key_list(encoder: Encoder | None, word: str) -> list[str]:
 
 
 def phonetic_postings(terms: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """(term, id) with sound keys in place of words; each distinct word is encoded once."""
-    keys = terms.select("term").distinct().select("term", F.explode(key_column(encoder)(F.col("term"))).alias("key"))
-    return terms.join(keys, "term").select(F.col("key").alias("term"), "id").distinct()
+    """(term, id) with sound keys in place of the words of (term, id), whose pairs may repeat. Words are encoded where they
+    are (Python has each distinct one of a batch once), so only pairs of key and id are shuffled, once."""
+    if encoder is None:  # words without a key go first
+        terms = terms.where(phonetic.language(F.col("term")) != phonetic.UNKNOWN)
+    return terms.select(F.explode(key_column(encoder)(F.col("term"))).alias("term"), "id").distinct()
+
+
+def coded(terms: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """(term, n, seen, key): the distinct words of (term, id) and each one's sound keys, each word encoded once. n counts a
+    word's rows; seen depends on all of its ids, so that errors of the ids come with those of the words."""
+    terms = terms.groupBy("term").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("seen"))
+    return terms.select("term", "n", "seen", F.explode(key_column(encoder)(F.col("term"))).alias("key"))
 
 
 def vocabulary(posts: DataFrame) -> DataFrame:
@@ -79,31 +96,61 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """An index as tables. Saved ones are laid out by term, so a search for word beginnings reads few row groups."""
+    """An index as tables. Saved ones are laid out by term, so a search for word beginnings reads few row groups.
+
+    Searches scan rows and shuffle what they find, so a large table's postings are not made for a search. rows are the
+    postings unless given: (term, id) whose pairs may repeat, and in sound search words, with coded having their keys.
+    """
 
     posts: DataFrame
     phonetic: bool = False
+    rows: DataFrame | None = None
+    coded: DataFrame | None = None
+    empty: bool | None = None
 
     def __post_init__(self):
-        self.vocab = vocabulary(self.posts)
+        self.rows = self.posts if self.rows is None else self.rows
+        self.vocab = vocabulary(self.rows if self.coded is None else self.coded.select(F.col("key").alias("term")))
         self.deletions = deletions(self.vocab) if self.phonetic else None
         self._hits: DataFrame | None = None
 
+    @staticmethod
+    def build(rows: DataFrame, phonetic: bool = False, encoder: Encoder | None = None) -> Index:
+        """The index of (term, id), after one pass over all of it, in which errors of the data come. Postings of up to HELD
+        rows are kept in memory for the searches to come; of more only the vocabulary is."""
+        if phonetic:
+            codes = coded(rows, encoder).cache()
+            n = codes.agg(F.sum("n")).first()[0] or 0
+            index = Index(phonetic_postings(rows, encoder), True, rows, codes, n == 0)
+        else:
+            n = rows.agg(F.count("*"), F.bit_xor(F.xxhash64("term", "id"))).first()[0]
+            index = Index(rows.distinct(), False, rows, None, n == 0)
+            index.vocab.cache()
+        return index.cache() if n <= HELD else index
+
+    def is_empty(self) -> bool:
+        return self.posts.isEmpty() if self.empty is None else self.empty
+
     def hold(self, hits: DataFrame) -> DataFrame:
-        """Keeps the words that a search has found, which its plan reads twice, until the next search or unpersist."""
+        """Keeps the words that a search has found, which it reads twice, until the next search or unpersist."""
         if self._hits is not None:
             self._hits.unpersist()
         self._hits = hits.cache()
         return self._hits
 
     def cache(self) -> Index:
+        """Keeps the postings and what is derived from them, for many searches."""
+        if self.rows is not self.posts:
+            self.unpersist()
+            self.rows = self.coded = None
+            self.__post_init__()
         for df in (self.posts, self.vocab, self.deletions):
             if df is not None:
                 df.cache()
         return self
 
     def unpersist(self) -> None:
-        for df in (self.posts, self.vocab, self.deletions, self._hits):
+        for df in (self.posts, self.vocab, self.deletions, self.coded, self._hits):
             if df is not None:
                 df.unpersist()
 

@@ -1,7 +1,8 @@
 """Terms of queries against an index: which ids match which term, at which distance.
 
-Terms come as literals (the driver has the queries), so an exact search is one filtered scan of the postings and a near
-search one pass over the vocabulary, however many terms are asked for. Results are rows (q, id, d).
+Terms come as literals (the driver has the queries), so an exact search is one filtered scan of the index's rows and a near
+search one pass over the vocabulary, however many terms are asked for. The words that it finds go to the rows, so no search
+shuffles the rows that it doesn't find. Results are rows (q, id, d).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .index import Index, deletion_key
 #: From this length on a sound key is also matched as a beginning.
 PREFIX = 7
 _SCHEMA = "q string, key string, d int"
+#: Bytes of found words that are sent to the rows, at most; for more than that both meet by a shuffle.
+SENT = 4 << 20
 
 
 def _holds(term: Column, q: str, location: Location) -> Column:
@@ -25,14 +28,22 @@ def _holds(term: Column, q: str, location: Location) -> Column:
 
 
 def exact(index: Index, terms: list[str], location: Location) -> DataFrame:
-    """(q, id, d = 0) of postings whose term begins with (or holds) a query term; one scan, the filter goes to it."""
+    """(q, id, d = 0) of rows whose term begins with (or holds) a query term; one scan, the filter goes to it."""
     term = F.col("term")
     wanted = reduce(lambda a, b: a | b, [_holds(term, q, location) for q in terms])
     hits = F.filter(F.array(*[F.when(_holds(term, q, location), F.lit(q)) for q in terms]), lambda q: q.isNotNull())
-    found = index.posts.where(wanted).select(F.explode(hits).alias("q"), "id")
+    found = index.rows.where(wanted).select(F.explode(hits).alias("q"), "id")
     return found.distinct().select("q", "id", F.lit(0).alias("d"))
 
 
+def with_ids(index: Index, words: DataFrame) -> DataFrame:
+    """(key, q, d, id) of the rows that have one of the found words (q, key, d), which are held; pairs repeat as rows do."""
+    words = index.hold(words)
+    n, size = words.agg(F.count("*"), F.sum(F.octet_length("key"))).first()
+    few = (size or 0) + 64 * n <= SENT
+    return index.rows.withColumnRenamed("term", "key").join(F.broadcast(words) if few else words, "key").select("key", "q", "d", "id")
+
+
 def near(index: Index, wanted: list[tuple[str, Location, int]], union: bool = False) -> DataFrame:
     """(q, id, d) of a near search with the bound of each term.
 
@@ -41,11 +52,11 @@ def near(index: Index, wanted: list[tuple[str, Location, int]], union: bool = Fa
     least = min(len(q) for q, _, _ in wanted)
     match = near_matcher([(q, location == Location.IN_WORD, most) for q, location, most in wanted])
     keys = index.vocab.where(F.col("len") >= least).select("term").mapInPandas(match, _SCHEMA)
-    if not union:
-        keys = index.hold(keys)  # joined and counted: distances are measured once
-    found = keys.join(index.posts.withColumnRenamed("term", "key"), "key")
+    found = with_ids(index, keys)
     if union:
         return found.select("q", "id", "d").distinct()
+    if index.rows is not index.posts:
+        found = found.distinct()
     need = keys.groupBy("q", "d").agg(F.count("*").alias("need"))
     held = found.groupBy("q", "d", "id").agg(F.count("*").alias("n"))
     # a row for each query term and distance: as many as the query has
@@ -74,8 +85,9 @@ def phonetic(index: Index, terms: list[str], candidates: bool = True) -> DataFra
     else:
         pairs = index.vocab.select(F.explode(F.array(*map(F.lit, terms))).alias("q"), F.col("term").alias("key"))
     keys = pairs.mapInPandas(phonetic_matcher(terms), _SCHEMA)
-    found = keys.join(index.posts.withColumnRenamed("term", "key"), "key")
-    return found.groupBy("q", "id").agg(F.min("d").alias("d"))
+    if index.coded is not None:  # the words that have these keys
+        keys = keys.join(index.coded.select("term", "key"), "key").groupBy("q", F.col("term").alias("key")).agg(F.min("d").alias("d"))
+    return with_ids(index, keys).groupBy("q", "id").agg(F.min("d").alias("d"))
 
 
 def matches(index: Index, terms: list[str], options: Options, union: bool = False, candidates: bool = True) -> DataFrame:

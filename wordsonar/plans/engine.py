@@ -136,11 +136,8 @@ class Search:
         self._reset()
         try:
             text = F.when(F.col("text").isNull(), F.raise_error(F.lit("a record has no text"))).otherwise(F.col("text"))
-            posts = _index.postings(rows.select("id", text.alias("text")), "id", "text", delimiters, self._numbers)
-            if self.is_phonetic:
-                posts = _index.phonetic_postings(posts, self.encoder)
-            index = _index.Index(posts, self.is_phonetic).cache()
-            index.posts.count()  # errors of the data come now, as the caller expects
+            words = _index.tokens(rows.select("id", text.alias("text")), "id", "text", delimiters, self._numbers)
+            index = _index.Index.build(words, self.is_phonetic, self.encoder)  # errors of the data come now, as the caller expects
         except Exception as e:
             raise SearchError(ErrorCode.INDEX_BUILD_FAILED, "the index could not be built") from e
         self.index = index
@@ -170,7 +167,7 @@ class Search:
             raise SearchError(ErrorCode.EMPTY_QUERY, "the query is empty")
         if not self.index or not self.is_index_complete:
             raise SearchError(ErrorCode.INDEX_NOT_BUILT, "no index has been built")
-        if self.index.posts.isEmpty():
+        if self.index.is_empty():
             raise SearchError(ErrorCode.INDEX_IS_EMPTY, "the index has no terms")
         request = request or SearchRequest()
         request.validate()

@@ -218,7 +218,7 @@ def phonetic_keys_documents(spark, sf_dir):
 
 
 def phonetic_index_documents(spark, sf_dir):
-    return index.phonetic_postings(index.postings(table(spark, sf_dir, DOCS)))
+    return index.phonetic_postings(index.tokens(table(spark, sf_dir, DOCS)))
 
 
 def key_distribution_documents(spark, sf_dir):
