@@ -67,7 +67,7 @@ def shuffled(spark):
     return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
 
 
-@pytest.mark.parametrize("name", ["phonetic_prefix_documents", "phonetic_soft_documents", "exact_in", "exact_in_all", "near_documents"])
+@pytest.mark.parametrize("name", ["phonetic_prefix_documents", "phonetic_soft_documents", "exact_in", "exact_in_all", "phonetic_close_documents", "near_documents"])
 def test_search_shuffles_what_it_finds(spark, monkeypatch, name):
     """Not the postings of a table that is too large to be held; near and sound searches shuffle a vocabulary."""
     rows = queries.table(spark, SMALL, queries.DOCS)
